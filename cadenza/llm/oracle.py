@@ -51,4 +51,16 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_prefix_containment": DECONTAMINATION, "op7_blob_ledger": SECRETS}
+JACCARD = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0))),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc, node) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc, edge.b FROM reach JOIN edge ON edge.a = reach.node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT doc AS doc_id, min(node) AS component_id FROM reach GROUP BY doc) USING (doc_id)
+"""
+
+ORACLE_SQL = {"op5_size_aware_jaccard": JACCARD, "op4_prefix_containment": DECONTAMINATION, "op7_blob_ledger": SECRETS}

@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, media_columns, secret_ledger, token_counts
+from . import byte_bpe, decontaminate, jaccard_join, media_columns, secret_ledger, suffix_dedup, token_counts, weak_toxicity
 from .shared import table
 
 
+def op2_label_model_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_prefix_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -32,6 +40,10 @@ def op9_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.flac_columns(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op10_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_prefix_containment, op6_heap_token_counts, op7_blob_ledger, op8_bitmap_queue_bpe, op9_flac_columns)
+    f.__name__: f for f in (op2_label_model_toxicity, op4_prefix_containment, op5_size_aware_jaccard, op6_heap_token_counts, op7_blob_ledger, op8_bitmap_queue_bpe, op9_flac_columns, op10_induced_sorting)
 }
