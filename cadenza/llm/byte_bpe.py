@@ -103,29 +103,35 @@ def _odd_numbers() -> str:
     return "".join(c for c in map(chr, range(0xFFFF)) if unicodedata.category(c) in ("Nl", "No"))
 
 
+def splitter(pattern: str):
+    """A function from a text to its pre-tokens."""
+    import regex
+
+    full = regex.compile(pattern).findall
+    if pattern != r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""":
+        return full
+    # the same classes in the standard module, which has no \p: equal but for numbers that aren't decimal digits, and control characters
+    fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    odd, astral = re.compile(f"[{_odd_numbers()}]").search, re.compile("[\U00010000-\U0010ffff]").search
+
+    def split(text: str) -> list[str]:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and (odd(text) or astral(text)):
+            return full(text)
+        return fast(text)
+
+    return split
+
+
 class Codec:
     """Encodes and decodes with one rank file; the pattern is that of the rank files' library."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
         self.ranks = load_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.full = regex.compile(pattern).findall
-        self.fast = None
-        if pattern == r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""":
-            # the same classes in the standard module, which has no \p: equal but for numbers that aren't decimal digits and for marks
-            self.fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-            self.odd, self.astral = re.compile(f"[{_odd_numbers()}]").search, re.compile("[\U00010000-\U0010ffff]").search
+        self.split = splitter(pattern)
         self.young: dict[str, tuple[str, list[int]]] = {}
         self.old: dict[str, tuple[str, list[int]]] = {}
 
-    def split(self, text: str) -> list[str]:
-        """The pre-tokens of a text."""
-        if self.fast is None or any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and (self.odd(text) or self.astral(text)):
-            return self.full(text)
-        return self.fast(text)
-
     def piece(self, part: str) -> tuple[str, list[int]]:
         found = self.young.get(part)
         if found is None:

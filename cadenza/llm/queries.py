@@ -7,14 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, jaccard_join, media_columns, secret_ledger, suffix_dedup, token_counts, weak_toxicity
+from . import byte_bpe, decontaminate, id_coder, jaccard_join, media_columns, quote_links, secret_ledger, suffix_dedup, token_counts, weak_toxicity
 from .shared import table
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_label_model_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_context_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = id_coder.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return id_coder.read_ids(segments, keep_ids=False)
+
+
 def op4_prefix_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -45,5 +54,5 @@ def op10_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_label_model_toxicity, op4_prefix_containment, op5_size_aware_jaccard, op6_heap_token_counts, op7_blob_ledger, op8_bitmap_queue_bpe, op9_flac_columns, op10_induced_sorting)
+    f.__name__: f for f in (op1_quote_links, op2_label_model_toxicity, op3_context_mixing_blocks, op4_prefix_containment, op5_size_aware_jaccard, op6_heap_token_counts, op7_blob_ledger, op8_bitmap_queue_bpe, op9_flac_columns, op10_induced_sorting)
 }

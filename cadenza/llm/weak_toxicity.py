@@ -32,7 +32,7 @@ from .shared import texts, written
 
 #: Fixed lexicon.
 LEXICON = tuple("asshole bastard bitch clown crap cretin cunt disgusting dumbass filth fool idiot imbecile loser moron pathetic retard scum slut stupid trash vermin whore worthless".split())
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 FOLD = bytes(0x20 if b < 0x41 or 0x5A < b < 0x61 or 0x7A < b < 0x80 else b for b in range(256))
 MOST_FEATURES, MOST_VOTERS = 2000, 48
 LABEL_ACCURACY = 0.97
@@ -188,25 +188,34 @@ def fit_label_model(patterns: DataFrame, model: LabelModel, known: tuple[np.ndar
     return model
 
 
-def fit_classifier(rows: list[list[int]], target: np.ndarray, size: int, ridge: float = 0.05, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Logistic regression on present features by Newton steps over those that occur."""
+def fit_classifier(rows: list[list[int]], posterior: np.ndarray, size: int, ridge: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Logistic regression on present features by Newton steps. A row's target is the likelier class under its posterior, its weight how
+    sure that is; both classes weigh the same in total (up to a factor of 5), so one clear feature is enough in a text without others."""
     used = sorted({k for r in rows for k in r})
     at = {k: i for i, k in enumerate(used)}
-    x = np.zeros((len(rows), len(used) + 1), np.float32)
+    target, sure = (posterior > 0.5).astype(float), np.abs(2 * posterior - 1)
+    share = sure[target > 0].sum(), sure[target == 0].sum()
+    sure = sure * np.where(target > 0, np.clip(share[1] / max(share[0], 1e-9), 1, 5), 1.0)
+    # equal rows are frequent: work on the distinct ones
+    distinct: dict[tuple[int, ...], list[float]] = {}
+    for r, y, w in zip(rows, target.tolist(), sure.tolist()):
+        own = distinct.setdefault(tuple(at[k] for k in r), [0.0, 0.0])
+        own[0] += w
+        own[1] += w * y
+    x = np.zeros((len(distinct), len(used) + 1))
     x[:, -1] = 1
-    for i, r in enumerate(rows):
-        x[i, [at[k] for k in r]] = 1
-    # equal rows and features are frequent: work on the distinct rows
-    key, inverse, n = np.unique(x, axis=0, return_inverse=True, return_counts=True)
-    mean = np.bincount(inverse.ravel(), weights=target, minlength=len(key)) / n
-    key, w = key.astype(np.float64), np.zeros(len(used) + 1)
+    for i, r in enumerate(distinct):
+        x[i, list(r)] = 1
+    n, yes = np.array(list(distinct.values())).T
+    w = np.zeros(len(used) + 1)
     penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+    penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(key @ w, -30, 30)))
-        h = (key * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ key
-        step = np.linalg.solve(h + np.diag(penalty), key.T @ (n * (mean - p)) - penalty * w)
-        w += np.clip(step, -4, 4)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        step = np.linalg.solve(h + np.diag(penalty), x.T @ (yes - n * p) - penalty * w)
+        step *= min(1.0, 4 / max(np.abs(step).max(), 1e-12))
+        w += step
         if np.abs(step).max() < 1e-4:
             break
     out = np.zeros(size)
@@ -221,7 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     sample = _sample(labels, key, label, most_rows)
     toxic = sum(sample.values())
     fixed = [w.encode() for w in LEXICON]
-    found = _counted(own, sample, 1, None, max(2, toxic // 400), 200_000) if toxic else {}
+    found = _counted(own, sample, 1, None, max(2, min(3, toxic // 20), toxic // 1000), 200_000) if toxic else {}
     wrong = _counted(own, sample, 0, set(found), 1, 200_000) if found else {}
     clean = max(1, len(sample) - toxic)
 
@@ -229,7 +238,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         a, b = (found[f] + 0.1) / (toxic + 1), (wrong.get(f, 0) + 0.5) / (clean + 1)
         return found[f] * np.log(a / b)
 
-    good = sorted((f for f in found if found[f] / toxic > 5 * wrong.get(f, 0) / clean), key=lambda f: (-value(f), f))
+    good = sorted((f for f in found if found[f] >= 9 * wrong.get(f, 0)), key=lambda f: (-value(f), f))
     listed = fixed + [f for f in good if f not in set(fixed)][: MOST_FEATURES - len(fixed)]
     shared = own.sparkSession.sparkContext.broadcast(listed)
 
