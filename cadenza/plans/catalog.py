@@ -423,7 +423,7 @@ def _streamed(spark, d):
     return replay.closed_sessions(spark, d)
 
 
-@query(None)
+@query(f'''WITH {SESSIONS} SELECT user_id, "begin", "end", n FROM s WHERE "end" + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)''')
 def q31_stream_equals_batch(spark, d):
     return _streamed(spark, d)
 
