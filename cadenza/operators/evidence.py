@@ -1,0 +1,112 @@
+"""What the spectrum around an onset says about a note: prominence, peak level and rise of five harmonics; presence and detection."""
+
+from __future__ import annotations
+
+import numpy as np
+
+SIZE, RATE = 32768, 22050
+PRESENT_DB, FRESH_DB = 12.0, 6.0
+LOWEST, HIGHEST = 33, 96
+
+
+def hertz(number: float) -> float:
+    return 440.0 * 2 ** ((number - 69) / 12)
+
+
+def spectrum(x: np.ndarray, start: float, seconds: float) -> np.ndarray | None:
+    """Magnitudes of a windowed stretch, normalised by the window's gain; none if the take doesn't hold it."""
+    a = max(0, int(start * RATE))
+    part = x[a : a + int(seconds * RATE)][:SIZE]
+    if len(part) < 256:
+        return None
+    window = np.hanning(len(part))
+    return np.abs(np.fft.rfft(part * window, SIZE)) / window.sum()
+
+
+def _peak(s: np.ndarray, f: float, semitones: float = 0.4) -> float:
+    low, high = (int(round(f * 2 ** (k * semitones / 12) * SIZE / RATE)) for k in (-1, 1))
+    return float(s[low : high + 1].max(initial=0.0)) if low < len(s) else 0.0
+
+
+def _floor(s: np.ndarray, f: float) -> float:
+    low, high = (int(f * k * SIZE / RATE) for k in (0.75, 1.35))
+    return float(np.median(s[low : high + 1])) if low < len(s) else 0.0
+
+
+def _db(a: float, b: float) -> float:
+    """Level of a over b; minus infinity of nothing."""
+    return -np.inf if a <= 0 else np.inf if b <= 0 else 20 * np.log10(a / b)
+
+
+class Evidence:
+    """Spectra after, before and within an onset; notes are measured once."""
+
+    def __init__(self, x: np.ndarray, t: float, following: float | None = None):
+        gap = following - t if following is not None else 0.46
+        self.post = spectrum(x, t + 0.03, min(0.4, max(0.2, gap - 0.06)))
+        self.pre = spectrum(x, t - 0.15, 0.12)
+        self.early, self.late = spectrum(x, t + 0.03, 0.1), spectrum(x, t + 0.13, 0.1)
+        self.notes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def note(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prominence in dB, peak, and rise in dB of five harmonics."""
+        if number not in self.notes:
+            f = hertz(number) * np.arange(1, 6)
+            if self.post is None:
+                self.notes[number] = np.full(5, -np.inf), np.zeros(5), np.full(5, -np.inf)
+            else:
+                peak = np.array([_peak(self.post, h) for h in f])
+                prom = np.array([_db(p, _floor(self.post, h)) for p, h in zip(peak, f)])
+                rise = np.array([np.inf if self.pre is None else _db(p, _peak(self.pre, h)) for p, h in zip(peak, f)])
+                self.notes[number] = prom, peak, rise
+        return self.notes[number]
+
+    def present(self, number: int) -> bool:
+        loud = self.note(number)[0] > PRESENT_DB
+        return bool((loud[0] or loud[2]) and loud[:4].sum() >= 2)
+
+    def presence(self, number: int) -> float:
+        """1 for a note that is there and new, less for one that still rings."""
+        return (1.0 if self.fresh(number) else 0.4) if self.present(number) else 0.0
+
+    def fresh(self, number: int) -> bool:
+        prom, _, rise = self.note(number)
+        return bool(((rise >= FRESH_DB) & (prom > PRESENT_DB)).any())
+
+    def detected(self) -> list[int]:
+        """Notes from low to high that are there and that no lower accepted note explains as an overtone or a neighbour's skirt."""
+        out: list[int] = []
+        level = {m: float(self.note(m)[1][:4].sum()) for m in range(LOWEST, HIGHEST + 1)}
+        for m in range(LOWEST, HIGHEST + 1):
+            if not self.present(m) or not self.fresh(m):
+                continue
+            own, rise = self.note(m)[1], self.note(m)[2]
+            # a note that only its overtones speak for is a lower octave or fifth of others; one whose fundamental doesn't rise still rings
+            explained = own[0] < 0.1 * own[:4].max() or rise[0] < 3
+            for low in out:
+                base = self.note(low)[1]
+                for h in range(2, 6):
+                    if abs(12 * np.log2(h) - (m - low)) < 0.3 and own[0] < 1.2 * base[h - 1] and own[0] < 1.2 * base[0]:
+                        explained = True
+            if any(abs(m - low) <= 1 and level[m] * 2 < level[low] for low in out) or m < HIGHEST and level[m + 1] > 2 * level[m]:
+                explained = True
+            if not explained:
+                out.append(m)
+        top = max((level[m] for m in out), default=0.0)
+        return [m for m in out if level[m] >= 0.25 * top]
+
+    def extras(self, expected: list[int]) -> list[int]:
+        return [m for m in self.detected() if m not in set(expected)]
+
+
+def chord_presence(evidence: Evidence, expected: list[int]) -> float:
+    """Share of what is expected and heard among all that is expected or extra."""
+    extra = len(evidence.extras(expected))
+    return sum(evidence.presence(m) for m in expected) / (len(expected) + extra) if expected else 0.0
+
+
+def presence_matrix(x: np.ndarray, times: list[float], chords: list[list[int]]) -> np.ndarray:
+    """chords x onsets, for operators.align.align()."""
+    ahead = [*times[1:], None]
+    heard = [Evidence(x, t, n) for t, n in zip(times, ahead)]
+    return np.array([[chord_presence(e, c) for e in heard] for c in chords]).reshape(len(chords), len(times))

@@ -50,11 +50,11 @@ def read_onsets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tone(number: int, seconds: float, loud: float = 0.5) -> np.ndarray:
-    """A decaying note of eight partials."""
+    """A decaying note of eight partials that fades out at its end."""
     t = np.arange(int(seconds * RATE)) / RATE
     f = 440 * 2 ** ((number - 69) / 12)
     x = sum(np.sin(2 * np.pi * f * h * t) * 0.7**h * np.exp(-t * (1.5 + 0.5 * h)) for h in range(1, 9) if f * h < RATE / 2)
-    return loud * np.minimum(1, t / 0.005) * x
+    return loud * np.minimum(1, t / 0.005) * np.minimum(1, (seconds - t) / 0.3) * x
 
 
 def synthetic(chords: list[list[int]], seed: int = 1) -> tuple[np.ndarray, list[tuple[int, str, int | None, int | None]]]:

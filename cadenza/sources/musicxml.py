@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-ELEMENTS = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
+_FIELDS = (
     "score_id string, part_id string, measure_idx int, measure_no string, implicit boolean, elem_idx int, tag string, staff string, voice string, duration int, "
     "is_chord boolean, is_grace boolean, is_rest boolean, step string, alter double, octave int, tie_start boolean, tie_stop boolean, note_type string, dots int, "
     "divisions int, beats int, beat_type int, fifths int, clef_staff string, clef_sign string, clef_line int, flag string, slur_start array<string>, slur_stop array<string>, "
     "tuplet_start boolean, tuplet_stop boolean, actual_notes int, normal_notes int, beam string, stem string, accidental string, bar_style string"
 )
+ELEMENTS = T.StructType([T.StructField(f.split()[0], _KINDS[f.split()[1]]) for f in _FIELDS.split(", ")])
 
 
 def score_bytes(data: bytes) -> bytes:
