@@ -285,7 +285,8 @@ def marks(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
                 )
 
     found = written(keyed.mapInArrow(scanned, f"pick long, context long, doc {kind}, hash long, first long, last long"), "contexts")
-    often = found.groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select("pick")
+    # a table, so that the join has a shuffle on either side and a hot pick's rows can be split
+    often = written(found.groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select("pick"), "picks")
     repeated = written(found.join(often, "pick", "left_semi"), "repeated_picks")
     dropped(found)
     stats = written(repeated.groupBy("pick", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "first", "last")).alias("at")), "context_counts")
