@@ -40,10 +40,12 @@ CLASSES = byte_classes(b"\x20\x09\x0a\x0b\x0c\x0d")
 SHORT = 8
 MOST_SMALL = 12
 #: Elements found this often among the shingles of one chunk, and at least this often in all, count as frequent.
-CHUNK, IN_CHUNK, FREQUENT = 2_000_000, 4, 8
-#: The bound of what is broadcast: 8 bytes for each frequent element, and for each document that a check needs.
-MOST_FREQUENT, MOST_IDS = 1_000_000, 4_000_000
+CHUNK, IN_CHUNK, FREQUENT = 2_000_000, 2, 4
+#: The bound of what is broadcast: frequent elements with their counts, and who is checked against whom (24 bytes each).
+MOST_FREQUENT, MOST_ROLES = 1_000_000, 2_000_000
 SALTED = 500
+#: Members that are checked against one copy of their centre's set.
+MEMBERS = 512
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -272,50 +274,97 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(crossed, "a long, na long, b long, nb long")
 
 
-def _needed_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """doc and its elements for the documents in ids (doc)."""
-    ids = ids.distinct()
+def _checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, bound: bool) -> DataFrame:
+    """The pairs (a, b) that link. With `bound`, those that may link by the upper bound that shortened hashes give.
+
+    Sets move once for each pair: every b to a group of its a, with one copy of a's set for each MEMBERS of them. What document
+    goes where is broadcast if that is small, and joined to the documents otherwise."""
     spark = docs.sparkSession
+    grouped = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / MEMBERS)))
+    roles = grouped.select(F.col("b").alias("doc"), F.col("a").alias("centre"), "part", F.lit(1).alias("role")).unionByName(grouped.select(F.col("a").alias("doc"), F.col("a").alias("centre"), "part", F.lit(0).alias("role")).distinct())
+    roles = written(roles, "roles")
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    if ids.count() <= MOST_IDS:
-        wanted = spark.sparkContext.broadcast(np.sort(ids.toArrow().column("doc").to_numpy()))
+    few = roles.count() <= MOST_ROLES
+    if few:
+        table = roles.orderBy("doc", "centre").toArrow()
+        shared = spark.sparkContext.broadcast([table.column(c).to_numpy() for c in ("doc", "centre", "part", "role")])
+        own = own.join(F.broadcast(roles.select("doc").distinct()), "doc", "left_semi")
     else:
-        wanted = None
-        own = own.join(ids, "doc", "left_semi")
+        lists = roles.groupBy("doc").agg(F.collect_list(F.struct("centre", "part", "role")).alias("roles"))
+        own = own.join(lists.hint("shuffle_hash"), "doc").select("doc", "text", F.col("roles.centre").alias("c"), F.col("roles.part").alias("p"), F.col("roles.role").alias("r"))
 
-    def found(batches):
+    def sent(batches):
+        for batch in batches:
+            mine = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            if few:
+                doc, *rest = shared.value
+                low, high = np.searchsorted(doc, mine, "left"), np.searchsorted(doc, mine, "right")
+                keep = np.flatnonzero(high > low)
+                of = [[x[a:b] for x in rest] for a, b in zip(low[keep].tolist(), high[keep].tolist())]
+            else:
+                keep = np.arange(len(mine))
+                of = list(zip(*([np.array(x, np.int64) for x in batch.column(k).to_pylist()] for k in (2, 3, 4))))
+            for first in range(0, len(keep), 256):
+                some = keep[first : first + 256]
+                out = []
+                for d, roles_of, elements in zip(mine[some].tolist(), of[first : first + 256], _sets(batch.column(1).take(pa.array(some)), size)):
+                    n = len(elements)
+                    if bound:
+                        elements = np.unique((elements >> np.uint64(48)).astype(np.uint16) if n < 4096 else (elements >> np.uint64(32)).astype(np.uint32))
+                    raw = elements.tobytes()
+                    out += [(c, p, r, d, n, raw) for c, p, r in zip(*(x.tolist() for x in roles_of))]
+                columns = list(zip(*out)) if out else [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["centre", "part", "role", "doc", "n", "raw"])
+
+    moved = own.mapInArrow(sent, "centre long, part long, role int, doc long, n long, raw binary")
+    moved = moved.repartition("centre", "part").sortWithinPartitions("centre", "part", "role", "doc")
+
+    def held(batches):
+        centre, most, its = None, 0, None
         for batch in batches:
-            if wanted is not None:
-                mine, want = batch.column(0).fill_null(-(1 << 63)).to_numpy(), wanted.value
-                at = np.minimum(np.searchsorted(want, mine), max(0, len(want) - 1))
-                batch = batch.filter(pa.array(want[at] == mine if len(want) else np.zeros(len(mine), bool)))
-            got = list(_sets(batch.column(1), size))
-            end = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-            flat = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(end), pa.array(flat))], ["doc", "elements"])
-
-    return own.select("doc", "text").mapInArrow(found, "doc long, elements array<long>")
-
-
-def _checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb) that link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    sets = written(_needed_sets(docs, ids, key, text, size), "sets")
-    first = sets.select(F.col("doc").alias("a"), F.col("elements").alias("ea"))
-    second = sets.select(F.col("doc").alias("b"), F.col("elements").alias("eb"))
-    common = F.size(F.array_intersect("ea", "eb")).cast("long")
-    held = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", common.alias("common"))
-    out = written(held.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
-    dropped(sets)
+            found = []
+            for c, p, role, d, n, raw in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                kind = np.uint64 if not bound else np.uint16 if n < 4096 else np.uint32
+                own = np.frombuffer(raw, kind)
+                if role == 0:
+                    centre, most, its = (c, p), n, own
+                    continue
+                if centre != (c, p):
+                    continue  # a key without a document
+                x, y = its, own
+                if x.dtype != y.dtype:  # the longer hashes are cut to the shorter ones
+                    x, y = (np.unique((v >> np.uint32(16)).astype(np.uint16)) if v.dtype == np.uint32 else v for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if bound:
+                    common += min(most - len(x), n - len(y))
+                if 100 * common >= percent * (most + n - common):
+                    found.append((c, d))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    out = written(moved.mapInArrow(held, "a long, b long"), "links")
+    dropped(roles)
     return out
 
 
+def _counted_members(pairs: DataFrame) -> DataFrame:
+    """Pairs with how many of them their `a` has."""
+    return pairs.join(pairs.groupBy("a").agg(F.count("*").alias("members")), "a")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs that link, by the bound first: few of these pairs do."""
+    near = _checked(_counted_members(pairs), docs, key, text, size, percent, True)
+    return _checked(_counted_members(near.distinct()), docs, key, text, size, percent, False)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles and component_id (the least key that links of at least percent / 100 reach) of every row."""
     kind = docs.schema[key].dataType
     frequent = _frequent(docs, text, size)
     described = written(_described(docs, key, text, size, percent, frequent), "described")
-    classes = described.groupBy("sig").agg(F.min("doc").alias("rep"))
+    # a table, so that the join has a shuffle on either side and a large class's rows can be split
+    classes = written(described.groupBy("sig").agg(F.min("doc").alias("rep")), "classes")
     member = written(described.select("doc", "n", "sig").join(classes, "sig").select("doc", "n", "rep"), "members")
     reps = described.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").where("n > 0").dropDuplicates(["doc"])
     boundary = _boundary(reps, percent)
@@ -336,7 +385,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # the likeliest partner of each set first
     best = candidates.groupBy("b").agg(F.max(F.struct("common", F.struct((-F.col("a")).alias("minus"), "a", "na", "nb").alias("x"))).alias("best"))
     first = written(best.select("best.x.a", "best.x.na", "b", "best.x.nb"), "first_pairs")
-    links = _checked(first, docs, key, text, size, percent)
+    links = _checked(_counted_members(first), docs, key, text, size, percent, False)
     found = written(connected_components(links), "components")
 
     def labelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
@@ -347,7 +396,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     open_pairs = labelled(labelled(candidates.select("a", "na", "b", "nb").join(done, ["a", "b"], "left_anti"), "a", found), "b", found).where("a_component <> b_component").select("a", "na", "b", "nb")
     second = written(open_pairs, "second_pairs")
     if not second.isEmpty():
-        links = links.unionByName(_checked(second, docs, key, text, size, percent))
+        links = links.unionByName(_linked(second, docs, key, text, size, percent))
         found = written(connected_components(links), "components")
     # what long lists still hide: pairs across components that were no candidates
     long_rows = every.where("element <> 0")
@@ -359,7 +408,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hidden = hidden.select(shape[0].alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), shape[1].alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
     third = written(hidden.join(done.unionByName(second.select("a", "b")), ["a", "b"], "left_anti"), "third_pairs")
     if not third.isEmpty():
-        links = links.unionByName(_checked(third, docs, key, text, size, percent))
+        links = links.unionByName(_linked(third, docs, key, text, size, percent))
         found = written(connected_components(links), "components")
     out = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc"))).cast(kind).alias("component_id"))
