@@ -80,7 +80,8 @@ def _counted(docs: DataFrame, sample: dict, wanted: int, only: set[bytes] | None
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
 
     rows = docs.mapInArrow(counted, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {bytes(r.feature): r.n for r in rows.orderBy(F.desc("n"), "feature").limit(most).collect()}
+    got = rows.orderBy(F.desc("n"), "feature").limit(most).toArrow()
+    return dict(zip(got.column("feature").to_pylist(), got.column("n").to_pylist()))
 
 
 class Finder:
@@ -202,7 +203,7 @@ def fit_classifier(rows: list[list[int]], posterior: np.ndarray, size: int, ridg
         own = distinct.setdefault(tuple(at[k] for k in r), [0.0, 0.0])
         own[0] += w
         own[1] += w * y
-    x = np.zeros((len(distinct), len(used) + 1))
+    x = np.zeros((len(distinct), len(used) + 1), np.int8)
     x[:, -1] = 1
     for i, r in enumerate(distinct):
         x[i, list(r)] = 1
@@ -211,9 +212,13 @@ def fit_classifier(rows: list[list[int]], posterior: np.ndarray, size: int, ridg
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        step = np.linalg.solve(h + np.diag(penalty), x.T @ (yes - n * p) - penalty * w)
+        h, g = np.diag(penalty), -penalty * w
+        for low in range(0, len(x), 256):  # the table stays in bytes; 256 rows at a time are numbers
+            part, m, t = x[low : low + 256].astype(np.float64), n[low : low + 256], yes[low : low + 256]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h += (part * (m * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part
+            g += part.T @ (t - m * p)
+        step = np.linalg.solve(h, g)
         step *= min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         w += step
         if np.abs(step).max() < 1e-4:
