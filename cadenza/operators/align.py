@@ -58,14 +58,12 @@ def aligned(expected: DataFrame, observed: DataFrame, key: str, order: str, valu
     schema = f"`{key}` {kind}, expected long, observed long, status string"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = left.sort_values([order, value])[value].to_numpy(), right.sort_values([order, value])[value].to_numpy()
-        if not len(a):
-            return pd.DataFrame({key: [], "expected": [], "observed": [], "status": []})
-        pairs = dict(align((a[:, None] == b[None, :]).astype(float))[0]) if len(b) else {}
+        # a side without rows comes without columns
+        a, b = (x.sort_values([order, value])[value].to_numpy() if order in x.columns else np.zeros(0) for x in (left, right))
+        pairs = dict(align((a[:, None] == b[None, :]).astype(float))[0]) if len(a) and len(b) else {}
         rows = [(left[key].iloc[0], i, pairs.get(i), "skipped" if i not in pairs else "ok" if a[i] == b[pairs[i]] else "wrong") for i in range(len(a))]
         out = pd.DataFrame(rows, columns=[key, "expected", "observed", "status"])
-        out["observed"] = out["observed"].astype("Int64")
-        return out
+        return out.astype({"expected": "Int64", "observed": "Int64"})
 
     return expected.groupBy(key).cogroup(observed.groupBy(key)).applyInPandas(run, schema)
 

@@ -76,7 +76,7 @@ def line_distance(ink: np.ndarray) -> int | None:
 
 
 def skew(gray: np.ndarray, most: float = 1.5, step: float = 0.05) -> float:
-    """The shear in degrees at which row sums are sharpest."""
+    """The shear in degrees at which row sums are sharpest; the smallest of equals."""
     ink = (gray < 128).astype(np.float32)
     x = np.arange(ink.shape[1]) - ink.shape[1] / 2
     rows, columns = np.nonzero(ink)
@@ -87,7 +87,7 @@ def skew(gray: np.ndarray, most: float = 1.5, step: float = 0.05) -> float:
         return float((np.diff(profile) ** 2).sum())
 
     angles = np.arange(-most, most + step / 2, step)
-    return float(angles[int(np.argmax([sharp(a) for a in angles]))])
+    return float(min(angles, key=lambda a: (-sharp(a), abs(a))))
 
 
 def page_components(pages: DataFrame, page: str, width: str, height: str, pixels: str) -> DataFrame:
