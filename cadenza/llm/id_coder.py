@@ -39,7 +39,7 @@ MASK = np.uint64((1 << 32) - 1)
 FULL = np.uint64((1 << 48) - 1)
 START = (np.arange(16) * (ONE // 16)).astype(np.int32)
 #: What the distribution moves to after each choice: every choice keeps a share.
-GOAL = np.where(np.arange(16)[None, :] <= np.arange(16)[:, None], np.arange(16)[None, :], ONE - 16 + np.arange(16)[None, :]).astype(np.int32)
+GOAL = np.where(np.arange(16)[None, :] <= np.arange(16)[:, None], np.arange(16)[None, :], ONE - 16 + np.arange(16)[None, :]).astype(np.int16)
 NODES = (0, 1, 17, 273)
 
 
@@ -136,9 +136,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             for level in range(4):
                 row = root + NODES[level] + (value >> (16 - 4 * level))
                 symbol = (value >> (12 - 4 * level)) & 15
-                choice = m.choice[row]
+                choice = m.choice.take(row, axis=0)
                 start, size = _split(choice, symbol)
-                m.choice[row] = choice + ((GOAL[symbol] - choice) >> 4).astype(np.int16)
+                m.choice[row] = choice + ((GOAL.take(symbol, axis=0) - choice) >> 4)
                 r = sp >> np.uint64(15)
                 lo += start * r
                 sp = size * r
@@ -198,12 +198,12 @@ def decode_blocks(parts: list[bytes], length: list[int]) -> list[np.ndarray]:
             lo, sp, x = low[miss], span[miss], code[miss]
             for level in range(4):
                 row = root + NODES[level] + value
-                choice = m.choice[row]
+                choice = m.choice.take(row, axis=0)
                 r = sp >> np.uint64(15)
                 place = np.minimum(x // r, np.uint64(ONE - 1)).astype(np.int16)
                 symbol = (choice <= place[:, None]).sum(axis=1, dtype=np.int32) - 1
                 start, size = _split(choice, symbol)
-                m.choice[row] = choice + ((GOAL[symbol] - choice) >> 4).astype(np.int16)
+                m.choice[row] = choice + ((GOAL.take(symbol, axis=0) - choice) >> 4)
                 start *= r
                 lo += start
                 x -= start
