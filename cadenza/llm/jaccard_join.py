@@ -29,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -154,91 +154,109 @@ def _subset_keys(small: DataFrame, boundary: int, percent: int) -> DataFrame:
                     key += got.view(np.int64).tolist()
                     n += [size] * len(got)
                     doc += [d] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([-1] * len(key), pa.int64()), pa.array(n, pa.int64()), pa.array(doc, pa.int64())], ["element", "salt", "n", "doc"])
+            minus = pa.array([-1] * len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), minus, pa.array(n, pa.int64()), pa.array(doc, pa.int64()), minus], ["element", "salt", "n", "doc", "place"])
 
-    return small.select("doc", "n", "element").mapInArrow(keyed, "element long, salt long, n long, doc long")
+    return small.select("doc", "n", "element").mapInArrow(keyed, "element long, salt long, n long, doc long, place long")
 
 
-PAIRS = "element long, salt long, a long, na long, b long, nb long"
+#: pa, pb: places of the element in the orders of both sets, from 0; -1 where subsets met.
+PAIRS = "element long, salt long, a long, na long, pa long, b long, nb long, pb long"
+
+
+def may_link(na, pa, nb, pb, percent: int):
+    """Whether sets whose first common element stands at these places may still link: what can be common is that element and what
+    follows it in either order. A pair that links passes at its first common element, so failing at others loses nothing."""
+    na, pa, nb, pb = (F.col(x) if isinstance(x, str) else x for x in (na, pa, nb, pb))
+    rest = (na - pa, nb - pb)
+    least = F.least(*rest) if isinstance(na, Column) else np.minimum(*rest)
+    return (100 + percent) * least >= percent * (na + nb)
 
 
 def _scan_lists(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of each list. `element` is set for members of long lists, whose other pairs are still unknown; b is null for the centre of a salted list."""
+    names = [c.split()[0] for c in PAIRS.split(", ")]
 
     def scanned(batches):
-        state = None  # (element, salt, centre n, centre doc): a long list that goes on
+        state = None  # (element, salt, centre n, centre doc, centre place): a long list that goes on
 
         def rows(parts):
-            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
-            null = columns[4] < -(1 << 62)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=null if k == 4 else None) for k, c in enumerate(columns)], ["element", "salt", "a", "na", "b", "nb"])
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(names)
+            null = columns[5] < -(1 << 62)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=null if k == 5 else None) for k, c in enumerate(columns)], names)
 
-        def star(e, s, n, d, centre):
+        def star(e, s, n, d, p, centre):
             """Pairs of a part of a long list, sizes ascending, and the centre that goes on."""
             out, low = [], 0
+
+            def alone(centre):
+                """The centre of a salted list goes on to the others'; any other one keeps its list's rows together."""
+                return [np.array([v]) for v in (e, s, centre[1], centre[0], centre[2], *((-(1 << 63), 0, 0) if s > 0 else (centre[1], centre[0], centre[2])))]
+
             if centre is None:
-                centre = (int(n[0]), int(d[0]))
+                centre = (int(n[0]), int(d[0]), int(p[0]))
                 low = 1
-                if s > 0:
-                    out.append([np.array([v]) for v in (e, s, centre[1], centre[0], -(1 << 63), 0)])
+                out.append(alone(centre))
             while low < len(n):
                 high = int(np.searchsorted(n, centre[0] * 100 // percent, "right"))
                 if high > low:
                     m = high - low
-                    out.append([np.full(m, e), np.full(m, s), np.full(m, centre[1]), np.full(m, centre[0]), d[low:high], n[low:high]])
+                    out.append([*(np.full(m, v) for v in (e, s, centre[1], centre[0], centre[2])), d[low:high], n[low:high], p[low:high]])
                     low = high
                 if low < len(n):
-                    centre = (int(n[low]), int(d[low]))
-                    # the new centre keeps its list's rows together
-                    out.append([np.array([v]) for v in (e, s, centre[1], centre[0], -(1 << 63) if s > 0 else centre[1], 0 if s > 0 else centre[0])])
+                    centre = (int(n[low]), int(d[low]), int(p[low]))
+                    out.append(alone(centre))
                     low += 1
             return out, centre
 
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
 
-        def process(e, s, n, d, last):
+        def process(e, s, n, d, p, last):
             nonlocal state
             parts = []
             cut = np.flatnonzero((np.diff(e) != 0) | (np.diff(s) != 0)) + 1
             start = np.concatenate([[0], cut])
             size = np.diff(np.append(start, len(e)))
             done = len(start) if last else len(start) - 1  # the last list may go on
-            short = (size[:done] > 1) & (size[:done] <= SHORT)
+            salted = s[start[:done]] > 0  # a part of a list: its other pairs are unknown, however short it is
+            short = (size[:done] > 1) & (size[:done] <= SHORT) & ~salted
             first = 0
             if state is not None and len(start):
                 if (int(e[0]), int(s[0])) == state[:2]:
                     short[:1] = False
-                    got, centre = star(*state[:2], n[: size[0]], d[: size[0]], state[2:])
+                    got, centre = star(*state[:2], n[: size[0]], d[: size[0]], p[: size[0]], state[2:])
                     parts += got
                     state = (*state[:2], *centre)
                     first = 1
                     if done >= 1:
                         state = None
                     else:
-                        return parts, [x[:0] for x in (e, s, n, d)]
+                        return parts, [x[:0] for x in (e, s, n, d, p)]
                 else:
                     state = None
             for length in np.unique(size[:done][short]).tolist():
                 at = start[:done][short & (size[:done] == length)]
                 for i in range(length):
                     for j in range(i + 1, length):
-                        near = at[(100 * n[at + i] >= percent * n[at + j])]
-                        if len(near):
-                            zero = np.zeros(len(near), np.int64)
-                            parts.append([zero, zero, d[near + i], n[near + i], d[near + j], n[near + j]])
-            for k in np.flatnonzero(size[:done] > SHORT).tolist():
+                        x, y = at + i, at + j
+                        near = (100 * n[x] >= percent * n[y]) & ((p[x] < 0) | may_link(n[x], p[x], n[y], p[y], percent))
+                        x, y = x[near], y[near]
+                        if len(x):
+                            zero = np.zeros(len(x), np.int64)
+                            parts.append([zero, zero, d[x], n[x], p[x], d[y], n[y], p[y]])
+            for k in np.flatnonzero((size[:done] > SHORT) | salted).tolist():
                 if k >= first:
                     a, b = start[k], start[k] + size[k]
-                    parts += star(int(e[a]), int(s[a]), n[a:b], d[a:b], None)[0]
+                    parts += star(int(e[a]), int(s[a]), n[a:b], d[a:b], p[a:b], None)[0]
             if last or not len(start):
-                return parts, [x[:0] for x in (e, s, n, d)]
+                return parts, [x[:0] for x in (e, s, n, d, p)]
             a = start[-1]
             if size[-1] > 100 * SHORT:
-                got, centre = star(int(e[a]), int(s[a]), n[a:], d[a:], None)
+                got, centre = star(int(e[a]), int(s[a]), n[a:], d[a:], p[a:], None)
                 parts += got
                 state = (int(e[a]), int(s[a]), *centre)
                 a = len(e)
-            return parts, [x[a:] for x in (e, s, n, d)]
+            return parts, [x[a:] for x in (e, s, n, d, p)]
 
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
@@ -249,28 +267,33 @@ def _scan_lists(entries: DataFrame, percent: int) -> DataFrame:
             parts, held = process(*held, True)
             yield rows(parts)
 
-    dealt = entries.select("element", "salt", "n", "doc").repartition("element", "salt").sortWithinPartitions("element", "salt", "n", "doc")
+    dealt = entries.select("element", "salt", "n", "doc", "place").repartition("element", "salt").sortWithinPartitions("element", "salt", "n", "doc")
     return dealt.mapInArrow(scanned, PAIRS)
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a long list that the length bound allows and that lie in different components."""
+    """All pairs of a long list that lie in different components and that the length and place bounds allow."""
 
     def crossed(batches):
-        now, window = None, []
+        held = [np.zeros(0, np.int64)] * 5  # the rows of the last list that can still be near in size
         for batch in batches:
-            a, na, b, nb = [], [], [], []
-            for e, n, d, c in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if e != now:
-                    now, window = e, []
-                window = [x for x in window if 100 * x[0] >= percent * n]
-                for m, other, oc in window:
-                    if oc != c:
-                        a.append(other), na.append(m), b.append(d), nb.append(n)
-                window.append((n, d, c))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, na, b, nb)], ["a", "na", "b", "nb"])
-
-    dealt = members.select("element", "n", "doc", "component").repartition("element").sortWithinPartitions("element", "n", "doc")
+            old = len(held[0])
+            e, n, d, c, p = held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], e[1:] != e[:-1]]), np.arange(len(e)), 0)) if len(e) else e
+            found = []
+            for k in range(old, len(e)):
+                low = begin[k] + int(np.searchsorted(100 * n[begin[k] : k], percent * n[k]))
+                fits = (c[low:k] != c[k]) & ((p[low:k] < 0) | may_link(n[low:k], p[low:k], n[k], p[k], percent))
+                at = low + np.flatnonzero(fits)
+                if len(at):
+                    found.append([d[at], n[at], np.full(len(at), d[k]), np.full(len(at), n[k])])
+            if len(e):
+                keep = (e == e[-1]) & (100 * n >= percent * n[-1])
+                held = [x[keep] for x in held]
+            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "na", "b", "nb"])
+
+    dealt = members.select("element", "n", "doc", "component", "place").repartition("element").sortWithinPartitions("element", "n", "doc")
     return dealt.mapInArrow(crossed, "a long, na long, b long, nb long")
 
 
@@ -370,17 +393,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     boundary = _boundary(reps, percent)
     need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     listed = reps.where(F.col("n") * 100 / percent > boundary)
-    entries = listed.select("doc", "n", F.explode(F.slice(F.arrays_zip("element", "salt"), F.lit(1), need.cast("int"))).alias("x")).select("x.element", "x.salt", "n", "doc")
+    ranked = F.posexplode(F.slice(F.arrays_zip("element", "salt"), F.lit(1), need.cast("int"))).alias("place", "x")
+    entries = listed.select("doc", "n", ranked).select("x.element", "x.salt", "n", "doc", F.col("place").cast("long").alias("place"))
     small = reps.where(F.col("n") <= boundary)
     if boundary:
         entries = entries.unionByName(_subset_keys(small, boundary, percent))
     pairs = written(_scan_lists(entries, percent), "list_pairs")
     dropped(described)
-    centres = pairs.where("b is null").select("element", F.lit(0).cast("long").alias("salt"), F.col("na").alias("n"), F.col("a").alias("doc"))
+    centres = pairs.where("b is null").select("element", F.lit(0).cast("long").alias("salt"), F.col("na").alias("n"), F.col("a").alias("doc"), F.col("pa").alias("place"))
     met = written(_scan_lists(centres, percent), "centre_pairs")
     every = pairs.where("b is not null").unionByName(met)
-    shape = (F.least("a", "b"), F.greatest("a", "b"))
-    flat = every.where("a <> b").select(shape[0].alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), shape[1].alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    swapped = F.when(F.col("a") < F.col("b"), F.struct("a", "na", "b", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"))).alias("s")
+    flat = every.where("a <> b").where((F.col("pa") < 0) | may_link("na", "pa", "nb", "pb", percent)).select(swapped).select("s.*")
     candidates = written(flat.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("common")), "candidates")
     # the likeliest partner of each set first
     best = candidates.groupBy("b").agg(F.max(F.struct("common", F.struct((-F.col("a")).alias("minus"), "a", "na", "nb").alias("x"))).alias("best"))
@@ -392,23 +416,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         own = found.select(F.col("node").alias(column), F.col("component").alias(f"{column}_component"))
         return df.join(own, column, "left").withColumn(f"{column}_component", F.coalesce(f"{column}_component", column))
 
+    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after more links: only the links between components are followed again."""
+        ends = labelled(labelled(links, "a", found), "b", found)
+        up = written(connected_components(ends.select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))), "merged_components")
+        known = found.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+        moved = known.join(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left")
+        return written(moved.select("node", F.coalesce("up", "component").alias("component")), "components")
+
     done = first.select("a", "b")
     open_pairs = labelled(labelled(candidates.select("a", "na", "b", "nb").join(done, ["a", "b"], "left_anti"), "a", found), "b", found).where("a_component <> b_component").select("a", "na", "b", "nb")
     second = written(open_pairs, "second_pairs")
     if not second.isEmpty():
-        links = links.unionByName(_linked(second, docs, key, text, size, percent))
-        found = written(connected_components(links), "components")
+        found = merged(found, _linked(second, docs, key, text, size, percent))
     # what long lists still hide: pairs across components that were no candidates
     long_rows = every.where("element <> 0")
-    lists = long_rows.select("element", F.col("na").alias("n"), F.col("a").alias("doc")).unionByName(long_rows.select("element", F.col("nb").alias("n"), F.col("b").alias("doc"))).distinct()
-    lists = labelled(lists, "doc", found).withColumnRenamed("doc_component", "component")
-    lists = written(lists, "long_lists")
-    mixed_lists = lists.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("element")
+    lists = long_rows.select("element", F.col("na").alias("n"), F.col("a").alias("doc"), F.col("pa").alias("place")).unionByName(long_rows.select("element", F.col("nb").alias("n"), F.col("b").alias("doc"), F.col("pb").alias("place"))).unionByName(centres.select("element", "n", "doc", "place")).distinct()
+    lists = written(labelled(lists, "doc", found).withColumnRenamed("doc_component", "component"), "long_lists")
+    mixed_lists = written(lists.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("element"), "mixed_lists")
     hidden = _cross_pairs(lists.join(mixed_lists, "element", "left_semi"), percent)
-    hidden = hidden.select(shape[0].alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), shape[1].alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    hidden = hidden.select(swapped).select("s.*").distinct()
     third = written(hidden.join(done.unionByName(second.select("a", "b")), ["a", "b"], "left_anti"), "third_pairs")
     if not third.isEmpty():
-        links = links.unionByName(_linked(third, docs, key, text, size, percent))
-        found = written(connected_components(links), "components")
+        found = merged(found, _linked(third, docs, key, text, size, percent))
     out = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc"))).cast(kind).alias("component_id"))
