@@ -126,9 +126,10 @@ def test_jaccard_groups(spark):
     check_jaccard(spark, rows)
 
 
-def test_long_lists_hide_no_link(spark, monkeypatch):
-    """With tiny bounds every list is long, salted and goes over several batches."""
-    monkeypatch.setattr(jaccard_join, "SHORT", 1)
+@pytest.mark.parametrize("short", [1, 8])
+def test_long_lists_hide_no_link(spark, monkeypatch, short):
+    """With tiny bounds every list is long, or salted into parts of one set."""
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
     monkeypatch.setattr(jaccard_join, "SALTED", 2)
     rng = np.random.default_rng(8)
     base = [f"w{j}" for j in range(60)]
