@@ -11,7 +11,10 @@ Which bytes lie in a string of `length` bytes that also starts elsewhere is deci
     shard is suffix-sorted by induced sorting: suffixes that begin a descent are named and sorted first (recursively through
     their names), and queues, one for each first symbol, carry the suffix places that they induce, first the L-types and then
     the S-types. Queues go to disk when a shard's memory is spent. Neighbours in the suffix order whose common prefix reaches
-    `length` mark each other's window.
+    `length` mark each other's window. A pick whose different contexts are longer together than a shard is not sorted: its
+    windows are dealt out by exact keys. Equal windows have their pick at one offset, so all windows of a block of offsets
+    share the bytes around the pick that the block has in common. Contexts that are equal over the whole span of a block
+    repeat its windows; where only the common bytes are equal, the block's windows are counted one by one.
  4. Marks of a context hold for all its occurrences; marks of a document are merged and cut out of its bytes.
 
 Cases: null and empty texts and those shorter than `length` keep all bytes; matches never cross documents; repeated rows
@@ -34,6 +37,7 @@ from .shared import dropped, mixed, slices, utf8, weights, written
 GRAM = 64
 PIECE = 1 << 22
 SHARD = 1_500_000
+BLOCKS = 16
 TABLE = mixed(weights(256, 101))
 STEP = weights(16, 103)
 
@@ -255,6 +259,88 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     return [mark[a : a + max(0, n - length + 1)] for a, n in zip(at.tolist(), size.tolist())]
 
 
+def _digest(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
+def blocks(raw: bytes, length: int) -> list[tuple[int, int, int, int, int]]:
+    """block, core, whole, low, high of a context: its windows from low to high have their pick at the offsets of one block. core is a
+    hash of the bytes that all windows with such an offset hold, whole one of the windows' bytes and offsets."""
+    most = length - GRAM
+    width = -(-(most + 1) // BLOCKS)
+    # as contexts() picks: the leftmost of the first window's least hashes
+    pick = int((gram_hashes(np.frombuffer(raw, np.uint8)[:length], GRAM) >> np.uint64(23)).argmin())
+    last = len(raw) - length
+    out = []
+    for block in range((pick - last) // width, pick // width + 1):
+        least, greatest = block * width, min(block * width + width - 1, most)
+        low, high = max(0, pick - greatest), min(last, pick - least)
+        place = (pick - high).to_bytes(4, "big") + (pick - low).to_bytes(4, "big")
+        out.append((block, _digest(raw[pick - least : pick - greatest + length]), _digest(place + raw[low : high + length]), low, high))
+    return out
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hot_marks(held: DataFrame, length: int) -> DataFrame:
+    """pick, context, runs of the contexts (pick, context, raw) of hot picks. Rows that repeat a context don't count: what stands
+    under two different contexts repeats."""
+
+    def cored(batches):
+        for batch in batches:
+            rows = [(p, c, *b) for p, c, r in zip(*(batch.column(k).to_pylist() for k in range(3))) for b in blocks(r, length)]
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in columns], ["pick", "context", "block", "core", "whole", "low", "high"])
+
+    keys = ["pick", "block", "core"]
+    parts = written(held.mapInArrow(cored, "pick long, context long, block long, core long, whole long, low long, high long"), "hot_blocks")
+    # tables, so that the joins have a shuffle on either side and a large group's rows can be split
+    groups = parts.groupBy(*keys).agg(F.min("context").alias("a"), F.max("context").alias("b"), F.min("whole").alias("c"), F.max("whole").alias("d"))
+    groups = written(groups.where("a <> b").select(*keys, (F.col("c") == F.col("d")).alias("equal")), "hot_groups")
+    shared = written(parts.join(groups, keys).select("pick", "context", "low", "high", "equal"), "hot_shared")
+    dropped(parts)
+    lists = shared.where("not equal").groupBy("pick", "context").agg(F.collect_set(F.struct("low", "high")).alias("wanted"))
+
+    def windowed(batches):
+        for batch in batches:
+            pick, context, place, offset, said = [], [], [], [], []
+            for p, c, raw, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = np.frombuffer(raw, np.uint8)
+                at = int((gram_hashes(data[:length], GRAM) >> np.uint64(23)).argmin())
+                h = gram_hashes(data, length).view(np.int64).tolist()
+                for w in own:
+                    for k in range(w["low"], w["high"] + 1):
+                        pick.append(p)
+                        context.append(c)
+                        place.append(k)
+                        offset.append(at - k)
+                        said.append(h[k])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (pick, context, place, offset, said)], ["pick", "context", "low", "offset", "window"])
+
+    texts = held.join(lists.hint("shuffle_hash"), ["pick", "context"]).select("pick", "context", "raw", "wanted")
+    single = written(texts.mapInArrow(windowed, "pick long, context long, low long, offset long, window long"), "hot_windows")
+    keys = ["pick", "offset", "window"]
+    again = single.groupBy(*keys).agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select(*keys)
+    again = single.join(written(again, "hot_repeats"), keys, "left_semi").select("pick", "context", "low", F.col("low").alias("high"))
+    every = shared.where("equal").select("pick", "context", "low", "high").unionByName(again)
+    lists = every.groupBy("pick", "context").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+
+    def joined(batches):
+        for batch in batches:
+            runs = [[{"low": a, "high": b} for a, b in _merged([(w["low"], w["high"]) for w in own])] for own in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], ["pick", "context", "runs"])
+
+    return lists.mapInArrow(joined, "pick long, context long, runs array<struct<low:bigint,high:bigint>>")
+
+
 def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
@@ -290,24 +376,30 @@ def marks(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
     repeated = written(found.join(often, "pick", "left_semi"), "repeated_picks")
     dropped(found)
     stats = written(repeated.groupBy("pick", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "first", "last")).alias("at")), "context_counts")
-    several = stats.groupBy("pick").agg(F.count("*").alias("k")).where("k > 1").select("pick")
-    wanted = stats.join(several, "pick", "left_semi").select("pick", "context", "at.*")
-    lists = wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct("pick", "context", "first", "last")).alias("wanted"))
+    size = F.sum(F.col("at.last") - F.col("at.first") + length + 1)
+    several = written(stats.groupBy("pick").agg(F.count("*").alias("k"), (size > SHARD).alias("hot")).where("k > 1").select("pick", "hot"), "several_picks")
+    hot = not several.where("hot").isEmpty()
+    wanted = stats.join(several, "pick").select("pick", "context", "hot", "at.*")
+    lists = wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct("pick", "context", "hot", "first", "last")).alias("wanted"))
 
     def cut(batches):
         for batch in batches:
             data, at = utf8(batch.column(0))
-            pick, context, raw = [], [], []
+            pick, context, own_hot, raw = [], [], [], []
             for low, high, own in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist()):
                 for w in own:
                     pick.append(w["pick"])
                     context.append(w["context"])
+                    own_hot.append(w["hot"])
                     raw.append(data[low + w["first"] : low + w["last"] + length].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(pick, pa.int64()), pa.array(context, pa.int64()), pa.array(raw, pa.binary())], ["pick", "context", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(pick, pa.int64()), pa.array(context, pa.int64()), pa.array(own_hot, pa.bool_()), pa.array(raw, pa.binary())], ["pick", "context", "hot", "raw"])
 
     x, y = keyed.alias("x"), lists.hint("shuffle_hash").alias("y")
     held = x.join(y, F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.hash") == F.col("y.hash"))).select("x.text", "y.wanted")
-    held = held.mapInArrow(cut, "pick long, context long, raw binary").repartition("pick").sortWithinPartitions("pick", "context")
+    held = held.mapInArrow(cut, "pick long, context long, hot boolean, raw binary")
+    if hot:
+        held = written(held, "context_texts")
+    cold = held.where("not hot").select("pick", "context", "raw").repartition("pick").sortWithinPartitions("pick", "context")
 
     def sorted_shards(batches):
         def said(rows):
@@ -326,8 +418,10 @@ def marks(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
                 size += len(r[2]) + 1
         yield said(rows)
 
-    parts = held.mapInArrow(sorted_shards, "pick long, context long, low long, high long")
+    parts = cold.mapInArrow(sorted_shards, "pick long, context long, low long, high long")
     parts = written(parts.groupBy("pick", "context").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "context_marks")
+    if hot:
+        parts = parts.unionByName(written(_hot_marks(held.where("hot").select("pick", "context", "raw"), length), "hot_marks"))
     whole = stats.where("n > 1").select("pick", "context", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(1 << 40).cast("long").alias("high"))).alias("runs"))
     rest = parts.join(whole, ["pick", "context"], "left_anti")
     known = whole.unionByName(rest)

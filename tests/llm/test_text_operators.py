@@ -205,6 +205,31 @@ def test_suffix_dedup_conflicts(spark):
     assert by_key(got) == suffix_brute(rows, 400)
 
 
+def test_suffix_dedup_hot_pick(spark, monkeypatch):
+    """A passage in many rows, with different text on either side: no shard outgrows its bound, whatever its picks."""
+    bound, sort = 4000, suffix_dedup.repeated_windows
+
+    def bounded(parts, length):
+        assert sum(len(p) + 1 for p in parts) <= 2 * bound
+        return sort(parts, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", bound)
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", bounded)
+    rng = np.random.default_rng(6)
+    letters = list("abcdefgh")
+    passage = "".join(rng.choice(letters, 600))
+    rows = []
+    for k in range(60):
+        low, high = int(rng.integers(0, 120)), int(rng.integers(480, 601))
+        own = "".join(rng.choice(letters, 350)) + passage[low:high] + "".join(rng.choice(letters, 350))
+        if k % 7 == 0:
+            own = own[:600] + "Z" + own[601:]
+        rows += [(k, own)] * (1 + (k % 20 == 0))
+    rows += [(100 + k, passage[k * 30 : k * 30 + 400]) for k in range(6)]
+    got = suffix_dedup.deduplicated(frame(spark, rows), 400, keep_bytes=False).collect()
+    assert by_key(got) == suffix_brute(rows, 400)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=120), st.sampled_from([16, 1 << 20]), st.sampled_from([2, 4096]))
 def test_induced_sorting(symbols, budget, most):
