@@ -228,10 +228,12 @@ def fit_classifier(rows: list[list[int]], posterior: np.ndarray, size: int, ridg
     return out, float(w[-1])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 6000, rounds: int = 8) -> DataFrame:
-    """key, held_out, score, predicted (score >= threshold) and votes (how many voters found something) of every document."""
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 6000, rounds: int = 8, carried: tuple[str, ...] = ()) -> DataFrame:
+    """key, held_out, score, predicted (score >= threshold) and votes (how many voters found something) of every document, and the
+    columns `carried` as they are."""
     own = docs.select(key, text)
     kind = docs.schema[key].dataType.simpleString()
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     sample = _sample(labels, key, label, most_rows)
     toxic = sum(sample.values())
     fixed = [w.encode() for w in LEXICON]
@@ -250,9 +252,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def described(batches):
         finder = Finder(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([finder(t) for t in texts(batch.column(1))], pa.list_(pa.int32()))], [key, "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([finder(t) for t in texts(batch.column(1))], pa.list_(pa.int32())), *batch.columns[2:]], [key, "found", *carried])
 
-    table = written(own.mapInArrow(described, f"`{key}` {kind}, found array<int>"), "features")
+    table = written(docs.select(key, text, *carried).mapInArrow(described, f"`{key}` {kind}, found array<int>{more}"), "features")
     ids = own.sparkSession.createDataFrame([(k, y) for k, y in sample.items()], f"`{key}` {kind}, y int") if sample else None
     rows = table.join(F.broadcast(ids), key).select("y", "found").collect() if ids is not None else []  # most_rows of either class at most
     voters = choose_voters([(r.y, r.found) for r in rows], listed, [])
@@ -286,7 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for batch in batches:
             lists = batch.column(1).to_pylist()
             score = [1 / (1 + np.exp(-np.clip(bias + weight[own].sum(), -60, 60))) if own else 1 / (1 + np.exp(-np.clip(bias, -60, 60))) for own in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array([len(voters.intersection(own)) for own in lists], pa.int64())], [key, "score", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array([len(voters.intersection(own)) for own in lists], pa.int64()), *batch.columns[2:]], [key, "score", "votes", *carried])
 
-    out = table.mapInArrow(scored, f"`{key}` {kind}, score double, votes long")
-    return out.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "votes")
+    out = table.mapInArrow(scored, f"`{key}` {kind}, score double, votes long{more}")
+    return out.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "votes", *carried)

@@ -14,35 +14,42 @@ from cadenza.llm.shared import table, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """Each row with `row`, 63 bits of hash of its key and text: keys may be null or repeat, and stages decide about rows."""
+    return docs.select(*COLUMNS, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("row"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; those with a null key, which have no score of their own, stay."""
-    scored = weak_toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = written(scored.where("predicted = 1").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    """Rows that the classifier rejects go, whatever their key."""
+    rows = by_row(docs)
+    scored = weak_toxicity.toxicity(rows, table(spark, sf_dir, "labels"), carried=("row",))
+    rejected = written(scored.where("predicted = 1").select("row").distinct(), "rejected")
+    return rows.join(rejected, "row", "left_anti").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least key of each group stays; of repeated rows with that key, one."""
-    found = jaccard_join.jaccard_components(docs)
-    kept = found.where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    rest = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    both = written(kept.join(rest, F.col("doc_id") == F.col("gone"), "left_anti").select("doc_id"), "representatives")
-    whole = docs.select(COLUMNS)
-    one = whole.join(both, whole["doc_id"].eqNullSafe(both["doc_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """The row with the least key of each group stays, null keys last; of rows of equal key and text, one."""
+    rows = by_row(docs)
+    found = written(jaccard_join.jaccard_components(rows, key="row").select("row", "component_id").distinct(), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = found.join(rows.select("doc_id", "row").distinct(), "row").groupBy("component_id").agg(F.min(place).alias("at"))
+    kept = written(least.select("at.row"), "representatives")
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = written(found.where(F.size("spans") > 0).select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(COLUMNS)
+    """Rows that hold a window of a benchmark item go."""
+    rows = by_row(docs)
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), key="row")
+    hit = written(found.where(F.size("spans") > 0).select("row").distinct(), "contaminated")
+    return rows.join(hit, "row", "left_anti").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are cut out of the texts; n_chars follows."""
-    found, _, _ = secret_ledger.scan(docs, path="doc_id")
-    spans = found.where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"])
+    rows = by_row(docs)
+    found, _, _ = secret_ledger.scan(rows, path="row")
+    spans = found.where(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"])
     # spans may overlap: what is kept is between the furthest end so far and the next start
     cut = F.aggregate(
         "spans",
@@ -53,7 +60,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ),
         lambda done: F.concat(done["kept"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))),
     )
-    joined = docs.select(COLUMNS).join(spans.hint("shuffle_hash"), "doc_id", "left")
+    joined = rows.join(spans.hint("shuffle_hash"), "row", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)
     return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
 

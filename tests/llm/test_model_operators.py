@@ -169,6 +169,39 @@ def test_pipeline(spark, labelled, odd_rows, tmp_path):
     assert all(codec.decode(r.ids) == (kept["secrets"][k].text or "").encode() for k, r in last.items())
 
 
+def test_pipeline_decides_by_row(spark, labelled, tmp_path):
+    """Rows without a key, and rows of one key with unlike texts, in every stage."""
+    rows, labels = labelled
+    rng = random.Random(10)
+    item, base = prose(rng, 30), prose(rng, 80)
+    leak, other = (prose(rng, 20) + " " + item + " " + prose(rng, 20) for _ in range(2))
+    toxic = prose(rng, 10) + " moron trash, scum " + prose(rng, 10)
+    clean = [prose(rng, 40) for _ in range(8)]
+    # copies of a kept text go, under null keys, repeated ones and keys that belong to another group too
+    extra = [(None, clean[0]), (None, clean[1]), (1000, clean[2]), (1000, clean[3]), (1000, clean[3]), (1001, base), (1002, base + " end"), (1002, clean[4]), (None, base + " tail"), (None, "")]
+    extra += [(None, toxic), (1003, toxic + " zu"), (1003, clean[5]), (None, leak), (1004, other), (1004, clean[6])]
+    extra += [(None, "the password: 12345678 is old"), (1005, "password: 87654321"), (1005, clean[7])]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows + extra], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, own, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), set(range(400)), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = sorted([(r.doc_id or 0, r.text) for r in docs.collect() if r.doc_id not in own])
+    want = [(k or 0, t) for k, t in extra if toxic not in t]
+    assert kept["toxicity"] == sorted(want)
+    want.remove((1000, clean[3]))
+    want = [x for x in want if x not in ((1002, base + " end"), (0, base + " tail"))]
+    both = [(0, leak), (1004, other)]
+    assert kept["near_duplicates"] == sorted(want)
+    want = [x for x in want if x not in both]
+    assert kept["decontamination"] == sorted(want)
+    cut = {"the password: 12345678 is old": "the  is old", "password: 87654321": ""}
+    assert kept["secrets"] == sorted((k, cut.get(t, t)) for k, t in want)
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id not in own) == sorted(k for k, _ in want)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
