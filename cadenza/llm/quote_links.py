@@ -8,7 +8,8 @@ somebody says. A message's parent is what its shallowest linked passage of the o
 
 Only hashes that are quoted somewhere take part in the join. The search for the latest earlier message is dealt out by
 conversation, hash and block of turns, with block summaries in between, so that a line that fills a conversation doesn't fill a
-task; elsewhere-links use one row for each hash. Roots are found by pointer jumping.
+task; elsewhere-links use one row for each hash, with its first
+message and the first one of any other conversation. Roots are found by pointer jumping.
 
 Cases: null and empty texts say and quote nothing; a line "X wrote:" before a quote belongs to the quote; empty quoted lines are
 dropped; repeated rows of a turn are one message with all their passages, and each row is returned; null keys link to nothing;
@@ -112,8 +113,11 @@ def _links(own: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("far", F.max("last").over(before)).select("conv", "hash", "block", "far")
     inside = near.join(blocks, ["conv", "hash", "block"]).withColumn("here", F.coalesce("near", "far"))
-    first = says.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
-    found = inside.join(first, "hash", "left").withColumn("to", F.when(F.col("here").isNotNull(), F.struct(F.col("conv").alias("conv"), F.col("here").alias("turn"))).when(F.col("first.conv") != F.col("conv"), F.col("first")))
+    # elsewhere: the first message of all, and the first of the other conversations for quotes in that one's own
+    first = written(says.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first")), "first_messages")
+    others = says.join(first, "hash").where(F.col("conv") != F.col("first.conv")).groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("other"))
+    sayers = first.join(others, "hash", "left")
+    found = inside.join(sayers, "hash", "left").withColumn("to", F.when(F.col("here").isNotNull(), F.struct(F.col("conv").alias("conv"), F.col("here").alias("turn"))).when(F.col("first.conv") != F.col("conv"), F.col("first")).when(F.col("conv").isNotNull(), F.col("other")))
     return found.where("to is not null").groupBy("conv", "turn", "place", "depth").agg(F.min(F.struct("line", F.col("to.conv").alias("c"), F.col("to.turn").alias("t"))).alias("best")).select("conv", "turn", "place", "depth", F.col("best.c").alias("to_conv"), F.col("best.t").alias("to_turn"))
 
 

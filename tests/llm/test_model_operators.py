@@ -126,6 +126,28 @@ def test_quotes_link_to_the_latest_earlier_turn(spark, monkeypatch):
     assert got == {r[1]: r[3] for r in rows}
 
 
+def test_quotes_link_elsewhere(spark):
+    """Against brute force, over several conversations: the own one may be the first that says a line, but later."""
+    rng = random.Random(3)
+    rows = [(0, 0, "> X"), (0, 1, "X"), (2, 0, "X"), (None, 0, "> X"), (4, 0, "> only\nonly")]
+    for c in range(5, 17):
+        for t in range(4):
+            quoted, text = (rng.choice([f"line {k}" for k in range(14)]) for _ in range(2))
+            rows.append((c, t, f"> {quoted}\n{text}"))
+    said = [(c, t, own) for c, t, text in rows if c is not None and (own := text.split("\n")[-1])[0] != ">"]
+    want = {}
+    for c, t, text in rows:
+        if text[0] != ">":
+            continue
+        quoted = text.split("\n")[0][2:]
+        here = [(a, b) for a, b, x in said if x == quoted and a == c and b < t]
+        elsewhere = [(a, b) for a, b, x in said if x == quoted and a != c and c is not None]
+        want[c, t] = [max(here)] if here else [min(elsewhere)] if elsewhere else []
+    got = {(r.conv_id, r.turn): [(x.to_conv, x.to_turn) for x in r.links] for r in quote_links.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert want[0, 0] == [(2, 0)] and want[4, 0] == []
+    assert {k: got[k] for k in want} == want
+
+
 def test_no_messages(spark):
     assert quote_links.linked_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
