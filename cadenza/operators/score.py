@@ -176,12 +176,65 @@ def empty_staves(elements: DataFrame) -> DataFrame:
 
 
 def without_ghosts(elements: DataFrame, confidence: str, low: float = 0.35) -> DataFrame:
-    """Voices whose pitched notes are all doubtful are dropped."""
+    """Voices whose pitched notes are all doubtful are dropped, a staff's only voice too; without_ghost_voices() has REP20's guards."""
     w = Window.partitionBy(*BAR, "staff", "voice")
     best = F.max(F.when(F.col("step").isNotNull(), F.coalesce(confidence, F.lit(1.0)))).over(w)
     return elements.withColumn("_best", best).where((F.col("tag") != "note") | F.col("_best").isNull() | (F.col("_best") >= low)).drop("_best")
 
 
+def without_ghost_voices(elements: DataFrame, confidence: str, low: float = 0.35, fragment: float = 0.7) -> DataFrame:
+    """REP20: a voice goes where its staff has another one, some voice of the staff fills the bar, this one doesn't, and all its
+    pitched notes have a certainty below `low`. A single note that fills the bar goes if its certainty is below `fragment` and it lies
+    from nine semitones under the lowest to the highest note with which the other voices that fill the bar begin. Bars with a grace
+    note that no note of its voice follows stay. Time that a dropped voice took is skipped. A state machine per bar."""
+    full = S.bar_length(F.col("beats"), F.col("beat_type"), F.col("divisions")).alias("full")
+    own = timed(elements).where("tag in ('note', 'forward')")
+    columns = [F.coalesce("staff", F.lit("1")).alias("staff"), F.coalesce("voice", F.lit("1")).alias("voice"), "elem_idx", "tag", "is_chord", "is_grace", "is_rest", "onset"]
+    own = own.select(*BAR, *columns, F.coalesce("duration", F.lit(0)).alias("duration"), S.midi(F.col("step"), F.col("octave"), F.col("alter")).alias("midi"), F.col(confidence).cast("double").alias("sure"))
+    own = own.join(state_at_bars(elements).select(*BAR, full), BAR)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        voices: dict[tuple, list] = {}
+        graces: set[tuple] = set()
+        gone = []
+        pdf = pdf.sort_values("elem_idx")
+        for r in pdf.itertuples():
+            key = r.staff, r.voice
+            if r.tag == "note" and r.is_grace:
+                graces.add(key)
+            elif r.is_chord:
+                voices[key][-1][2].append(r)
+            else:
+                voice = voices.setdefault(key, [])
+                voice.append((voice[-1][0] + voice[-1][1] if voice else r.onset, r.duration, [r] if r.tag == "note" else []))
+                graces.discard(key)
+        length = {k: sum(e[1] for e in v) for k, v in voices.items()}
+        bar = pdf["full"].iloc[0]
+        for staff in [] if graces else sorted({k[0] for k in voices}):
+            keys = [k for k in voices if k[0] == staff]
+            if len(keys) < 2 or all(length[k] != bar for k in keys):
+                continue
+            for k in keys:
+                notes = [r for e in voices[k] for r in e[2]]
+                pitched = [r for r in notes if not r.is_rest]
+                if length[k] != bar:
+                    if pitched and all(r.sure < low for r in pitched):
+                        gone.append(k)
+                elif len(notes) == len(pitched) == 1 and pitched[0].sure < fragment:
+                    begin = [r.midi for j in keys if j != k and j not in gone and length[j] == bar for e in voices[j] if e[0] == 0 for r in e[2] if not r.is_rest]
+                    if begin and min(begin) - 9 <= pitched[0].midi <= max(begin):
+                        gone.append(k)
+        return pd.DataFrame([(*pdf[BAR].iloc[0], *k) for k in gone], columns=[*BAR, "_s", "_v"])
+
+    ghosts = own.groupBy(*BAR).applyInPandas(run, "score_id string, part_id string, measure_idx int, _s string, _v string").withColumn("_gone", F.lit(True))
+    marked = elements.withColumn("_s", F.coalesce("staff", F.lit("1"))).withColumn("_v", F.coalesce("voice", F.lit("1"))).join(ghosts, [*BAR, "_s", "_v"], "left")
+    gone = (F.col("tag") == "note") & F.coalesce("_gone", F.lit(False))
+    marked = marked.withColumn("_gone", gone).where(~F.col("_gone") | ~(F.col("is_chord") | F.col("is_grace")))
+    blank = {c: F.when(~F.col("_gone"), F.col(c)) for c in "step alter octave tie_start tie_stop note_type dots slur_start slur_stop tuplet_start tuplet_stop actual_notes normal_notes beam stem accidental".split() if c in elements.columns}
+    blank |= {"tag": F.when(F.col("_gone"), "forward").otherwise(F.col("tag")), "is_rest": F.col("is_rest") & ~F.col("_gone")}
+    return marked.withColumns(blank).select(elements.columns)
+
+
 def kept_unisons(elements: DataFrame) -> DataFrame:
     """Of equal pitches at one place and voice the longest stays; whole notes stay beside it."""
     own = timed(elements)

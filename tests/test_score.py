@@ -148,3 +148,27 @@ def test_small_repairs(read):
     assert score.without_ghosts(df.withColumn("conf", F.lit(0.1)), "conf").where("tag = 'note'").count() == 0
     assert score.in_range(df, 1, 1).count() == df.count() and score.in_range(df, 2, 9).count() == 0
     assert score.summary(df).first().notes == 3
+
+
+def test_ghost_voices(read):
+    """A doubtful voice goes only beside one that fills the bar; a doubtful whole note only near the notes it begins with."""
+    back = "<backup><duration>{}</duration></backup>"
+    whole = note("C", 5, d=4) + note("E", 5, d=4, extra="<chord/>") + back.format(4)
+    bars = [
+        note("C", d=1) + note("D", d=2),  # the only voice of its staff
+        whole + note("A", 4, d=1, v=2) + note("G", 4, d=1, v=2, extra="<chord/>") + back.format(1) + note("C", 3, d=4, v=3, s=2),  # a ghost, and another staff
+        note("C", 5, d=2) + back.format(2) + note("A", 4, d=1, v=2),  # no voice fills the bar
+        whole + note("E", 4, d=4, v=2),  # 8 below the lowest: a fragment
+        whole + note("D", 4, d=4, v=2),  # 10 below: none
+        whole + note("A", 4, d=2, v=2) + note("B", 4, d=2, v=2),  # fills the bar with two notes
+    ]
+    df = read(a=document(bars))
+    sure = F.when((F.col("voice") == "1") & (F.col("measure_idx") > 0), 0.9).when((F.col("measure_idx") == 3), 0.6).otherwise(0.3)
+    got = score.without_ghost_voices(df.withColumn("conf", sure), "conf")
+    left = {}
+    for r in got.where("tag = 'note'").collect():
+        left.setdefault(r.measure_idx, []).append(f"{r.step}{r.octave}")
+    assert {k: sorted(v) for k, v in left.items()} == {0: ["C4", "D4"], 1: ["C3", "C5", "E5"], 2: ["A4", "C5"], 3: ["C5", "E5"], 4: ["C5", "D4", "E5"], 5: ["A4", "B4", "C5", "E5"]}
+    at = {(r.measure_idx, r.step, r.octave): r.onset for r in rhythm.timed(got).where("tag = 'note'").collect()}
+    assert at[1, "C", 3] == 0  # what the ghost took is skipped, so that the next staff stays in its place
+    assert score.without_ghost_voices(df.withColumn("conf", F.lit(None).cast("double")), "conf").where("tag = 'note'").count() == df.where("tag = 'note'").count()
