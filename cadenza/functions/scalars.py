@@ -41,6 +41,11 @@ def diatonic(step: Column, octave: Column) -> Column:
     return octave * 7 + F.instr(F.lit("CDEFGAB"), step) - 1
 
 
+def middle_line(sign: Column, octave_change: Column) -> Column:
+    """The diatonic number of a clef's middle line: B4 for G, D3 for F, C4 for C; null for other signs."""
+    return F.when(sign == "G", 34).when(sign == "F", 22).when(sign == "C", 28) + 7 * F.coalesce(octave_change, F.lit(0))
+
+
 def bar_length(beats: Column, beat_type: Column, divisions: Column, variant: str = "floor") -> Column:
     """floor: whole divisions; float: quarters, exact; round: whole divisions, nearest."""
     if variant == "floor":

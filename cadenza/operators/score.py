@@ -117,8 +117,19 @@ def usual_length(elements: DataFrame) -> DataFrame:
 # ---- voting
 
 
-def staff_readings(elements: DataFrame, reading: str) -> DataFrame:
-    """Per reading, bar and staff: the set of (onset, midi) events, whether the staff adds up, and the number of events."""
+def of_shape(elements: DataFrame, reading: str, primary) -> DataFrame:
+    """The readings that have as many bars in each part as the primary one."""
+    parts = elements.groupBy(reading, "part_id").agg(F.countDistinct("measure_idx").alias("n"))
+    shape = parts.groupBy(reading).agg(F.array_sort(F.collect_list(F.struct("part_id", "n"))).alias("shape"))
+    same = shape.join(shape.where(F.col(reading) == primary).select("shape"), "shape", "left_semi")
+    return elements.join(same.select(reading), reading, "left_semi")
+
+
+def staff_readings(elements: DataFrame, reading: str, primary=None) -> DataFrame:
+    """Per reading, bar and staff: the set of (onset, midi) events and whether the staff adds up. Bars meet by index in voted(), so
+    readings of another shape than the primary one's, if that is given, are left out."""
+    if primary is not None:
+        elements = of_shape(elements, reading, primary)
     state = state_at_bars(elements).select(*BAR, F.col("divisions").alias("_d"), F.col("beats").alias("_b"), F.col("beat_type").alias("_t"))
     own = timed(elements).where("tag = 'note'").join(state, BAR)
     event = F.when(F.col("step").isNotNull() & ~F.col("is_grace"), F.concat_ws(":", F.round(F.col("onset") / F.col("_d"), 6), S.midi(F.col("step"), F.col("octave"), F.col("alter"))))

@@ -172,3 +172,12 @@ def test_ghost_voices(read):
     at = {(r.measure_idx, r.step, r.octave): r.onset for r in rhythm.timed(got).where("tag = 'note'").collect()}
     assert at[1, "C", 3] == 0  # what the ghost took is skipped, so that the next staff stays in its place
     assert score.without_ghost_voices(df.withColumn("conf", F.lit(None).cast("double")), "conf").where("tag = 'note'").count() == df.where("tag = 'note'").count()
+
+
+def test_readings_of_another_shape(read):
+    """A reading with one bar more would vote with shifted bars."""
+    bars = [note("C", d=4), note("D", d=4)]
+    df = read(a=document(bars), b=document(bars), c=document([note("E", d=4), *bars]))
+    got = score.staff_readings(df, "score_id", "a.musicxml")
+    assert sorted({r.score_id for r in got.collect()}) == ["a.musicxml", "b.musicxml"]
+    assert {r.score_id for r in score.staff_readings(df, "score_id").collect()} == {"a.musicxml", "b.musicxml", "c.musicxml"}

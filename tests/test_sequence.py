@@ -176,3 +176,18 @@ def test_refractory(spark):
     df = spark.createDataFrame(rows, "k string, t double, s double")
     got = sorted(tuple(r) for r in peaks.refractory(df, ["k"], "t", "s", 2.0).collect())
     assert got == [("a", 1.0, 3.0), ("a", 9.0, 1.0), ("b", 0.5, 1.0)]
+
+
+def test_speeds(spark):
+    from cadenza.functions import scalars
+    from cadenza.operators import tempo
+
+    rows = [("a", 1 + k // 4, 0.5, 1.0) for k in range(8)] + [("a", 3, 3.0, 1.0), ("a", 4, 1.5, 1.0), ("b", 1, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "take string, measure int, dt double, dq double")
+    assert [(r.measure, r.dt) for r in tempo.paused(df, "take", "dt", "dq").where("pause").orderBy("measure").collect()] == [(3, 3.0), (4, 1.5)]
+    assert [(r.take, r.ratio, r.bpm, r.pauses) for r in tempo.tempo_summary(df, "take", "dt", "dq").collect()] == [("a", 0.5, 120, 2)]
+    assert sorted((r.take, r.measure, r.s) for r in tempo.measure_speeds(df, "take", "measure", "dt", "dq", 4.0).collect()) == [("a", 1, 0.5), ("a", 2, 0.5)]
+    points = spark.createDataFrame([("a", float(t), 9.0 * t) for t in range(4)], "k string, t double, q double")
+    assert [(r.slope, r.intercept) for r in tempo.theil_sen(points, "k", "t", "q", 0.05, (0.5, 5.0)).collect()] == [(5.0, 6.0)]
+    clefs = spark.createDataFrame([("G", None), ("F", 0), ("C", 1), ("percussion", 0)], "sign string, up int")
+    assert [r[0] for r in clefs.select(scalars.middle_line(clefs.sign, clefs.up)).collect()] == [34, 22, 35, None]
