@@ -191,3 +191,14 @@ def test_speeds(spark):
     assert [(r.slope, r.intercept) for r in tempo.theil_sen(points, "k", "t", "q", 0.05, (0.5, 5.0)).collect()] == [(5.0, 6.0)]
     clefs = spark.createDataFrame([("G", None), ("F", 0), ("C", 1), ("percussion", 0)], "sign string, up int")
     assert [r[0] for r in clefs.select(scalars.middle_line(clefs.sign, clefs.up)).collect()] == [34, 22, 35, None]
+
+
+def test_line_distance_of_the_whole_page():
+    """Ink that is no long line doesn't count, wherever it lies."""
+    page = np.zeros((400, 2400), bool)
+    for top in (20, 140):
+        for k in range(5):
+            page[top + 12 * k : top + 12 * k + 2, 100:2300] = True
+    page[220:400:7, ::12] = True  # dots under every twelfth column, seven pixels apart
+    assert geometry.line_distance(page) == 12
+    assert geometry.line_distance(np.zeros((50, 50), bool)) is None
