@@ -12,7 +12,10 @@
 
 The learning fold is crc32(key as text) mod 3 <> 1. Labels, language, source and key are never inputs of a score. The sample is
 bounded by `most_rows` labelled rows of either class, taken in the order of a hash; all counts of the label model cover all
-documents.
+documents. A learned feature must stand in `least_texts` sampled toxic texts (unless given: a twentieth of them, but 2 at least
+and 3 at most, or a thousandth where that is more, so 6 of 6000), and the best are listed, `most_features` with the lexicon. A toxic
+text that holds no listed feature gets the score of an empty one. At most `most_voters` (63 at most) features vote; lexicon words
+that learned voters leave no room for don't vote, but stay features of the classifier.
 
 Cases: null and empty texts have no feature and get the score of one without any; keys without a label and labels without a
 document are no hindrance; labels that contradict each other for a key count as toxic; without any toxic label only the fixed
@@ -104,7 +107,7 @@ class Finder:
         return sorted(out)
 
 
-def choose_voters(incidence: list[tuple[int, list[int]]], listed: list[bytes], fixed: list[int]) -> list[int]:
+def choose_voters(incidence: list[tuple[int, list[int]]], listed: list[bytes], fixed: list[int], most: int = MOST_VOTERS) -> list[int]:
     """Features that cover toxic texts not covered yet, as long as they are right in 9 of 10 cases."""
     held, wrong = {}, Counter()
     for row, (y, own) in enumerate(incidence):
@@ -116,7 +119,7 @@ def choose_voters(incidence: list[tuple[int, list[int]]], listed: list[bytes], f
     out = list(fixed)
     covered: Counter[int] = Counter()
     good = {k: rows for k, rows in held.items() if len(rows) >= 9 * wrong[k]}
-    while good and len(out) < MOST_VOTERS:
+    while good and len(out) < most:
         # two voters for each text: a correlation is seen only where voters overlap
         value, _, k = max((sum(1.0 if not covered[r] else 0.25 if covered[r] == 1 else 0.0 for r in rows) / (1 + wrong[k]), -len(listed[k]), k) for k, rows in good.items())
         if value < 1:
@@ -228,7 +231,7 @@ def fit_classifier(rows: list[list[int]], posterior: np.ndarray, size: int, ridg
     return out, float(w[-1])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 6000, rounds: int = 8, carried: tuple[str, ...] = ()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 6000, rounds: int = 8, carried: tuple[str, ...] = (), least_texts: int | None = None, most_features: int = MOST_FEATURES, most_voters: int = MOST_VOTERS) -> DataFrame:
     """key, held_out, score, predicted (score >= threshold) and votes (how many voters found something) of every document, and the
     columns `carried` as they are."""
     own = docs.select(key, text)
@@ -237,7 +240,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     sample = _sample(labels, key, label, most_rows)
     toxic = sum(sample.values())
     fixed = [w.encode() for w in LEXICON]
-    found = _counted(own, sample, 1, None, max(2, min(3, toxic // 20), toxic // 1000), 200_000) if toxic else {}
+    least = max(2, min(3, toxic // 20), toxic // 1000) if least_texts is None else least_texts
+    found = _counted(own, sample, 1, None, least, 200_000) if toxic else {}
     wrong = _counted(own, sample, 0, set(found), 1, 200_000) if found else {}
     clean = max(1, len(sample) - toxic)
 
@@ -246,7 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return found[f] * np.log(a / b)
 
     good = sorted((f for f in found if found[f] >= 9 * wrong.get(f, 0)), key=lambda f: (-value(f), f))
-    listed = fixed + [f for f in good if f not in set(fixed)][: MOST_FEATURES - len(fixed)]
+    listed = fixed + [f for f in good if f not in set(fixed)][: max(0, most_features - len(fixed))]
     shared = own.sparkSession.sparkContext.broadcast(listed)
 
     def described(batches):
@@ -257,8 +261,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     table = written(docs.select(key, text, *carried).mapInArrow(described, f"`{key}` {kind}, found array<int>{more}"), "features")
     ids = own.sparkSession.createDataFrame([(k, y) for k, y in sample.items()], f"`{key}` {kind}, y int") if sample else None
     rows = table.join(F.broadcast(ids), key).select("y", "found").collect() if ids is not None else []  # most_rows of either class at most
-    voters = choose_voters([(r.y, r.found) for r in rows], listed, [])
-    voters += [k for k in range(len(fixed)) if k not in voters][: max(0, MOST_VOTERS - len(voters))]
+    voters = choose_voters([(r.y, r.found) for r in rows], listed, [], most_voters)
+    voters += [k for k in range(len(fixed)) if k not in voters][: max(0, most_voters - len(voters))]
     bit = {k: j for j, k in enumerate(voters)}
     masks = F.aggregate(F.array_intersect("found", F.array(*(F.lit(k) for k in voters))), F.lit(0).cast("long"), lambda n, k: n + F.expr("cast(1 as bigint)") * F.element_at(F.create_map(*(F.lit(x) for k, j in bit.items() for x in (k, 1 << j))).cast("map<int,bigint>"), k))
     patterns = written(table.select(masks.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")), "patterns")

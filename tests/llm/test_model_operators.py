@@ -55,6 +55,19 @@ def test_toxicity_odd(spark, odd, none):
     assert weak_toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_bounds(spark, labelled):
+    """A word of one sampled toxic text is a feature only if that is asked for."""
+    rows, labels = labelled
+    learned = [k for k in range(1000, 1020) if zlib.crc32(str(k).encode()) % 3 != 1][0]
+    own = [*rows, (learned, "moron qqxyz trash"), (2000, "qqxyz"), (2001, "")]
+    table = spark.createDataFrame([*labels, (learned, 1)], "doc_id long, toxic int")
+    plain = {r.doc_id: r.score for r in weak_toxicity.toxicity(frame(spark, own), table).collect()}
+    wide = {r.doc_id: r.score for r in weak_toxicity.toxicity(frame(spark, own), table, least_texts=1, most_voters=20).collect()}
+    assert plain[2000] == plain[2001] and wide[2000] > wide[2001]
+    few = {r.doc_id: r.score for r in weak_toxicity.toxicity(frame(spark, own), table, least_texts=1, most_features=len(weak_toxicity.LEXICON)).collect()}
+    assert few[2000] == few[2001]
+
+
 def test_label_model_shares_weight_between_copies():
     """Of three voters two always vote alike: EM gives each of them about half a vote."""
     rng = np.random.default_rng(0)
