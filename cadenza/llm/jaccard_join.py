@@ -3,56 +3,60 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Two sets r, s with |r| <= |s| can link only if
 8 |s| <= 10 |r| and they share at least ceil(4 (|r| + |s|) / 9) elements (for 0.8).
 
- 1. Equal sets are one class, stood for by its least document.
- 2. Small sets (size at most the boundary) emit every subset of the sizes that a link with another small set would need; two
-    small sets that link have such a subset in common. The boundary is where, by the histogram of small sizes and the
-    measured length of their lists, subsets stop being cheaper than lists.
- 3. Larger sets are found through inverted lists over the elements that a link can't do without: the first
-    floor(0.2 |s|) + 1 in a fixed order, in which elements that are frequent in the corpus come last. Any order is exact;
-    this one keeps lists short. Lists of frequent elements are dealt out by a salt as well.
- 4. A list of up to SHORT sets gives all its pairs that the length bound allows. A longer one gives a star around its
-    smallest set, and a new star where sizes leave the bound. A salted list's star centres meet in a second round.
- 5. One candidate for each set is checked exactly and links are joined to components; of the other candidates and of the
-    long lists, only pairs of different components are still unknown, and these are all checked. A skipped pair lies in one
-    component already, so no component loses a link, and a group of n near copies costs n checks and not n squared.
+ 1. Equal sets are one class, which knows its least key and how many rows it has.
+ 2. Every element is counted over all rows. Rows are taken in chunks; a chunk sends each of its elements once (repeats as a
+    number) to the bucket of its hash, packed, and gets the counts of those that occur elsewhere too. An element that occurs
+    as often as its class has rows is the class's own: no other class has it.
+ 3. The order of elements: those of one class only first, then by count, then by hash. Sets that link share one of their first
+    floor(0.2 |s|) + 1 elements in this (in any) order. Most sets are done here: those elements are all their own.
+ 4. Small sets (size at most the boundary) are found through subsets of the sizes that a link with another small set would
+    need; two small sets that link have such a subset in common. Larger sets are found through inverted lists over the
+    elements of step 3. The boundary is where, by the sizes of the sets and the measured lengths of their lists, subsets stop
+    being cheaper than lists.
+ 5. Components first: in rounds, each set is checked exactly against the leader (another one each round) of one of its lists,
+    where their components differ, and links join components. When few pairs of different components are left in the lists,
+    or a round joins little, all those pairs are checked, outsiders against each list's main component and each other. A
+    skipped pair lies in one component already, so no component loses a link, and a group of n near copies costs about n
+    checks and not n squared.
+
+Every step deals rows by hash of keys that are combined before (a hot element is one entry of each chunk), or by joins of plain
+shuffles, which the engine can split. Broadcast are only keys and pairs whose number is checked against FEW.
 
 Cases: null and empty texts and texts without words have an empty set, and are linked with nothing; fewer words than a
-shingle are one shingle; repeated rows are copies of one class; the key is an integer; extra columns are not read.
+shingle are one shingle; repeated rows are copies of one class; keys may be null (the least key of a component is that of its
+rows with a key, null where none has one), may repeat, and be of any type that has an order; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import byte_classes, dropped, mixed, shingle_hashes, slices, weights, written
+from .shared import byte_classes, collected, dropped, mixed, shingle_hashes, slices, weights, written
 
 #: White space separates words; A-Z is lower-cased.
 CLASSES = byte_classes(b"\x20\x09\x0a\x0b\x0c\x0d")
-SHORT = 8
-MOST_SMALL = 12
-#: Elements found this often among the shingles of one chunk, and at least this often in all, count as frequent.
-CHUNK, IN_CHUNK, FREQUENT = 2_000_000, 2, 4
-#: The bound of what is broadcast: frequent elements with their counts, and who is checked against whom (24 bytes each).
-MOST_FREQUENT, MOST_ROLES = 1_000_000, 2_000_000
-SALTED = 500
-#: Members that are checked against one copy of their centre's set.
+#: Elements of a chunk, and of a bucket on average.
+CHUNK, BUCKET = 1 << 20, 1 << 19
+#: Rows of a chunk: their numbers in it take two bytes.
+MOST_ROWS = 65_000
+#: A set of more elements has a million and more of the subsets that a link needs, so no boundary can lie beyond.
+WHOLE = 32
+#: The bound of what is broadcast, in rows of at most 40 bytes.
+FEW = 500_000
+#: Members that are checked against one copy of their partner's set.
 MEMBERS = 512
 
 
-def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    for _, data, at in slices(column):
-        yield from shingle_hashes(data, at, CLASSES, size)
-
-
 def least_overlap(m: int, n: int, percent: int) -> int:
     return -(-percent * (m + n) // (100 + percent))
 
@@ -63,381 +67,366 @@ def subset_sizes(n: int, boundary: int, percent: int) -> list[int]:
     return sorted({o for m in fits if (o := least_overlap(m, n, percent)) <= min(m, n)})
 
 
-def _frequent(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The elements that come last in the order, sorted, with how often they were seen."""
+def prefix_size(n, percent: int):
+    """How many first elements a link can't do without."""
+    return n - -(-percent * n // 100) + 1
 
-    def seen(batches):
-        held, count = [], 0
 
-        def said():
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= IN_CHUNK
-            return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(n[keep])], ["element", "n"])
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """values[cuts[k]:cuts[k + 1]] as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+#: What a chunk sends: rows of a bucket (ids that occur once in the chunk with the row's number, others with how often), and one row of itself.
+BUCKET_ROW = ["bucket int", "chunk long", "low binary", "row binary", "many binary", "times binary"]
+CHUNK_ROW = ["parts int", "n binary", "class binary", "many_id binary", "many_row binary", "whole binary"]
+
+
+def _dealt(docs: DataFrame, key: str, text: str, size: int, bits: int) -> DataFrame:
+    kind = docs.schema[key].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = pa.list_(to_arrow_type(kind))
+    names = [x.split()[0] for x in [*BUCKET_ROW, *CHUNK_ROW]] + ["keys"]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 5, arrow]
+
+    def row(**given):
+        n = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([given[x] if x in given else pa.nulls(n, t) for x, t in zip(names, kinds)], names)
+
+    def dealt(batches):
+        from pyspark import TaskContext
+
+        chunk, keys, sets, total = TaskContext.get().partitionId() << 24, [], [], 0
+
+        def sent():
+            n = np.array([len(s) for s in sets], np.int32)
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            times = Counter(digest)
+            first = {d: k for k, d in reversed(list(enumerate(digest)))}
+            own = [k for k, d in enumerate(digest) if first[d] == k and len(sets[k])]
+            ids = np.concatenate([sets[k] for k in own] or [np.zeros(0, np.uint64)]) >> np.uint64(32 - bits)
+            rows = np.repeat(np.array(own, np.uint16), n[own])
+            weight = np.repeat(np.array([times[digest[k]] for k in own], np.int64), n[own])
+            order = np.argsort(ids)
+            ids, rows, weight = ids[order], rows[order], weight[order]
+            begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+            count = np.add.reduceat(weight, begin) if len(begin) else weight
+            one = count == 1
+            several = np.repeat(~one, np.diff(np.append(begin, len(ids))))
+            edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32)
+            x, y = ids[begin[one]], ids[begin[~one]]
+            cut_x, cut_y = np.searchsorted(x, edges), np.searchsorted(y, edges)
+            full = np.flatnonzero((np.diff(cut_x) > 0) | (np.diff(cut_y) > 0))
+
+            def packed(values, cuts):
+                return _packed(values, np.append(cuts[full], cuts[-1]))
+
+            yield row(bucket=pa.array(full, pa.int32()), chunk=pa.array(np.full(len(full), chunk)), low=packed(x.astype("<u4"), cut_x), row=packed(rows[begin[one]].astype("<u2"), cut_x), many=packed(y.astype("<u4"), cut_y), times=packed(count[~one].astype("<u4"), cut_y))
+            small = [sets[k].astype("<u8").tobytes() for k in range(len(sets)) if 0 < len(sets[k]) <= WHOLE]
+            said = {"n": n.astype("<i4").tobytes(), "class": b"".join(digest), "many_id": ids[several].astype("<u8").tobytes(), "many_row": rows[several].astype("<u2").tobytes(), "whole": b"".join(small)}
+            yield row(bucket=pa.array([chunk % (1 << bits)], pa.int32()), chunk=pa.array([chunk]), parts=pa.array([len(full)], pa.int32()), keys=pa.array([keys], arrow), **{k: pa.array([v], pa.binary()) for k, v in said.items()})
 
         for batch in batches:
-            for own in _sets(batch.column(0), size):
-                held.append(own)
-                count += len(own)
-                if count >= CHUNK:
-                    yield said()
-                    held, count = [], 0
+            its = batch.column(0).to_pylist()
+            for low, data, at in slices(batch.column(1)):
+                for k, own in enumerate(shingle_hashes(data, at, CLASSES, size), low):
+                    keys.append(its[k])
+                    sets.append(own)
+                    total += len(own)
+                    if total >= CHUNK or len(sets) >= MOST_ROWS:
+                        yield from sent()
+                        chunk, keys, sets, total = chunk + 1, [], [], 0
+        if sets:
+            yield from sent()
+
+    said = ", ".join([*BUCKET_ROW, *CHUNK_ROW, f"keys array<{kind.simpleString()}>"])
+    return docs.select(key, text).mapInArrow(dealt, said)
+
+
+def _answered(sent: DataFrame, keys: str) -> DataFrame:
+    """For each row of a bucket: the ids that occur more than once, with how often. Rows of chunks go through, with bucket -1."""
+    own = ["parts int", "n binary", "class binary", "many_id binary", "many_row binary", "whole binary"]
+    names = ["bucket", "chunk", "low", "row", "count", "many_count"]
+
+    def answered(batches):
+        held, bucket = [], None
+
+        def said():
+            single = [np.frombuffer(r["low"], "<u4") for r in held]
+            many = [np.frombuffer(r["many"], "<u4") for r in held]
+            low = np.concatenate([*single, *many])
+            times = np.concatenate([np.ones(sum(map(len, single)), np.int64), *(np.frombuffer(r["times"], "<u4").astype(np.int64) for r in held)])
+            order = np.argsort(low)
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(low[order]) != 0]))
+            total = np.add.reduceat(times[order], begin)
+            count = np.empty(len(low), np.int64)
+            count[order] = np.repeat(total, np.diff(np.append(begin, len(low))))
+            place, columns = 0, [[], [], [], []]
+            above = sum(map(len, single))
+            for r, x, y in zip(held, single, many):
+                its = count[place : place + len(x)]
+                place += len(x)
+                keep = its > 1
+                values = (x[keep], np.frombuffer(r["row"], "<u2")[keep], its[keep].astype("<u4"), count[above : above + len(y)].astype("<u4"))
+                above += len(y)
+                for c, v in zip(columns, values):
+                    c.append(v.tobytes())
+            given = [pa.array([bucket] * len(held), pa.int32()), pa.array([r["chunk"] for r in held], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)]
+            n = len(held)
+            return pa.RecordBatch.from_arrays([*given, *(pa.nulls(n, t) for t in rest_kinds)], [*names, *rest])
+
+        rest, rest_kinds = [], []
+        for batch in batches:
+            rest = batch.schema.names[6:]
+            rest_kinds = [batch.schema.field(x).type for x in rest]
+            through = batch.column("parts").is_valid()
+            if through.true_count:
+                some = batch.filter(through)
+                n = some.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), some.column("chunk"), *[pa.nulls(n, pa.binary())] * 4, *(some.column(x) for x in rest)], [*names, *rest])
+            some = batch.filter(pc.invert(through)).select(["bucket", "chunk", "low", "row", "many", "times"])
+            for k in range(some.num_rows):
+                r = {x: some.column(x)[k].as_py() for x in some.schema.names}
+                if r["bucket"] != bucket:
+                    if held:
+                        yield said()
+                    held, bucket = [], r["bucket"]
+                held.append(r)
         if held:
             yield said()
 
-    total = docs.select(text).mapInArrow(seen, "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    got = total.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).toArrow()
-    value, n = got.column("element").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(value)
-    return value[order], n[order]
+    said = ", ".join(["bucket int", "chunk long", "low binary", "row binary", "count binary", "many_count binary", *own, f"keys {keys}"])
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answered, said)
+
 
+def _described(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """doc (the key), n, class; for the first row of its class in a chunk, `shared`, where a link is possible: the ids that occur more
+    than once with their counts, in order; `whole`: the elements of small sets."""
+    length = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = max(8, ceil(log2(max(1, length / 6 / BUCKET))))
+    kind = docs.schema[key].dataType.simpleString()
+    answers = _answered(_dealt(docs, key, text, size, bits), f"array<{kind}>")
 
-def _described(docs: DataFrame, key: str, text: str, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc, n, sig (of the set), and the elements that a link needs in order, with salts; whole sets where they may be small."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    def finished(batches):
+        at, parts = None, []
 
-    def described(batches):
-        value, seen = known.value
-        salts = (seen // SALTED + 1).astype(np.int64)
+        def said():
+            if any(p["chunk"] != at["chunk"] for p in parts) or len(parts) != at["parts"]:
+                raise ValueError("a chunk's answers are not complete: its input came in another order when it was read again")
+            n, raw = np.frombuffer(at["n"], "<i4").astype(np.int64), at["class"]
+            digest = [raw[k : k + 16] for k in range(0, len(raw), 16)]
+            many, many_row = np.frombuffer(at["many_id"], "<u8"), np.frombuffer(at["many_row"], "<u2")
+            ids = [many, *((np.frombuffer(p["low"], "<u4").astype(np.uint64) | (np.uint64(p["bucket"]) << np.uint64(32))) for p in parts)]
+            rows = [many_row, *(np.frombuffer(p["row"], "<u2") for p in parts)]
+            own = np.concatenate([np.frombuffer(p["many_count"], "<u4") for p in parts] or [np.zeros(0, np.uint32)])
+            counts = [own[np.searchsorted(np.unique(many), many)], *(np.frombuffer(p["count"], "<u4") for p in parts)]
+            ids, rows, counts = np.concatenate(ids), np.concatenate(rows), np.concatenate(counts)
+            order = np.lexsort((ids, counts, rows))
+            ids, rows, counts = ids[order], rows[order], counts[order]
+            shared = np.bincount(rows, minlength=len(n))
+            is_open = (shared > 0) & (n - shared < prefix_size(n, percent))
+            keep = is_open[rows]
+            end = np.concatenate([[0], np.cumsum(np.where(is_open, shared, 0))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(counts[keep].astype(np.int64)), pa.array(ids[keep].view(np.int64))], ["count", "id"])
+            small = (n > 0) & (n <= WHOLE)
+            whole_end = np.concatenate([[0], np.cumsum(np.where(small, n, 0))]).astype(np.int32)
+            whole = pa.ListArray.from_arrays(pa.array(whole_end), pa.array(np.frombuffer(at["whole"], "<i8")), mask=pa.array(~small))
+            return pa.RecordBatch.from_arrays([pa.array(at["keys"], key_type), pa.array(n), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(end), pairs, mask=pa.array(~is_open)), whole], ["doc", "n", "class", "shared", "whole"])
+
+        key_type = None
         for batch in batches:
-            docs_of = batch.column(0)
-            n, sig, element, salt, count = [], [], [], [], []
-            for doc, own in zip(docs_of.to_pylist(), _sets(batch.column(1), size)):
-                need = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
-                at = np.searchsorted(value, own)
-                hot = np.zeros(len(own), bool)
-                if len(value):
-                    hot = value[np.minimum(at, len(value) - 1)] == own
-                first = own[~hot][:need]
-                rest = np.flatnonzero(hot)[: need - len(first)]
-                mine = np.concatenate([first, own[rest]])
-                own_salt = np.concatenate([np.zeros(len(first), np.int64), 1 + int(mixed(np.array([doc or 0], np.int64).view(np.uint64))[0] >> np.uint64(1)) % salts[at[rest]]])
-                if 0 < len(own) <= MOST_SMALL:  # whole, the elements beyond `need` behind
-                    others = np.setdiff1d(own, mine)
-                    mine, own_salt = np.concatenate([mine, others]), np.concatenate([own_salt, np.zeros(len(others), np.int64)])
-                n.append(len(own))
-                sig.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                element.append(mine)
-                salt.append(own_salt)
-                count.append(len(mine))
-            end = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(end), pa.array((np.concatenate(x) if x else np.zeros(0)).astype(kind).view(np.int64))) for x, kind in ((element, np.uint64), (salt, np.int64))]
-            yield pa.RecordBatch.from_arrays([docs_of.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), *lists], ["doc", "n", "sig", "element", "salt"])
-
-    return docs.select(key, text).mapInArrow(described, "doc long, n long, sig binary, element array<long>, salt array<long>")
-
-
-def _boundary(reps: DataFrame, percent: int) -> int:
-    """The size up to which subsets cost less than lists."""
-    small = reps.where(F.col("n").between(1, MOST_SMALL)).select("n", F.explode("element").alias("element"))
-    rows = {r.n: r.c / r.n for r in small.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    entries, lists = small.agg(F.count("*"), F.approx_count_distinct("element")).first()
-    length = entries / max(1, lists)
+            key_type = batch.schema.field("keys").type.value_type
+            for k in range(batch.num_rows):
+                r = {x: batch.column(x)[k].as_py() for x in batch.schema.names}
+                if r["bucket"] < 0:
+                    if at is not None:
+                        yield said()
+                    at, parts = r, []
+                else:
+                    parts.append(r)
+        if at is not None:
+            yield said()
+
+    dealt = answers.repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return written(dealt.mapInArrow(finished, f"doc {kind}, n long, class binary, shared array<struct<count:bigint,id:bigint>>, whole array<bigint>"), "described")
+
+
+def boundary(sets: dict[int, int], list_cost: dict[int, float], percent: int) -> int:
+    """The size up to which subsets cost less than lists. sets: how many sets there are of each size up to WHOLE; list_cost: the rows that
+    sets of a size meet in their lists."""
 
     def cost(x: int) -> float:
         total = 0.0
-        for n, sets in rows.items():
-            total += sets * (sum(comb(n, o) for o in subset_sizes(n, x, percent)) if n <= x else (n * (100 - percent) // 100 + 1) * length)
+        for n, k in sets.items():
+            if n <= x:
+                total += k * sum(comb(n, o) for o in subset_sizes(n, x, percent))
+            if n * 100 > x * percent:
+                total += list_cost.get(n, 0)
         return total
 
-    return min(range(MOST_SMALL + 1), key=lambda x: (cost(x), x))
+    return min(range(WHOLE + 1), key=lambda x: (cost(x), x))
 
 
-def _subset_keys(small: DataFrame, boundary: int, percent: int) -> DataFrame:
+def _subset_keys(small: DataFrame, most: int, percent: int) -> DataFrame:
+    """element (a subset's hash), n, class and place -1 of small sets."""
+
     def keyed(batches):
         for batch in batches:
-            key, n, doc = [], [], []
-            for d, size, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            element, rows = [], []
+            for k, (n, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 own = np.sort(np.array(own, np.int64).view(np.uint64))
-                for o in subset_sizes(size, boundary, percent):
+                for o in subset_sizes(n, most, percent):
                     every = np.array(list(combinations(own.tolist(), o)), np.uint64)
-                    got = mixed((every * weights(o, 71)).sum(axis=1, dtype=np.uint64) + np.uint64(o))
-                    key += got.view(np.int64).tolist()
-                    n += [size] * len(got)
-                    doc += [d] * len(got)
-            minus = pa.array([-1] * len(key), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), minus, pa.array(n, pa.int64()), pa.array(doc, pa.int64()), minus], ["element", "salt", "n", "doc", "place"])
-
-    return small.select("doc", "n", "element").mapInArrow(keyed, "element long, salt long, n long, doc long, place long")
-
-
-#: pa, pb: places of the element in the orders of both sets, from 0; -1 where subsets met.
-PAIRS = "element long, salt long, a long, na long, pa long, b long, nb long, pb long"
-
-
-def may_link(na, pa, nb, pb, percent: int):
-    """Whether sets whose first common element stands at these places may still link: what can be common is that element and what
-    follows it in either order. A pair that links passes at its first common element, so failing at others loses nothing."""
-    na, pa, nb, pb = (F.col(x) if isinstance(x, str) else x for x in (na, pa, nb, pb))
-    rest = (na - pa, nb - pb)
-    least = F.least(*rest) if isinstance(na, Column) else np.minimum(*rest)
-    return (100 + percent) * least >= percent * (na + nb)
-
-
-def _scan_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each list. `element` is set for members of long lists, whose other pairs are still unknown; b is null for the centre of a salted list."""
-    names = [c.split()[0] for c in PAIRS.split(", ")]
-
-    def scanned(batches):
-        state = None  # (element, salt, centre n, centre doc, centre place): a long list that goes on
-
-        def rows(parts):
-            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(names)
-            null = columns[5] < -(1 << 62)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=null if k == 5 else None) for k, c in enumerate(columns)], names)
-
-        def star(e, s, n, d, p, centre):
-            """Pairs of a part of a long list, sizes ascending, and the centre that goes on."""
-            out, low = [], 0
-
-            def alone(centre):
-                """The centre of a salted list goes on to the others'; any other one keeps its list's rows together."""
-                return [np.array([v]) for v in (e, s, centre[1], centre[0], centre[2], *((-(1 << 63), 0, 0) if s > 0 else (centre[1], centre[0], centre[2])))]
-
-            if centre is None:
-                centre = (int(n[0]), int(d[0]), int(p[0]))
-                low = 1
-                out.append(alone(centre))
-            while low < len(n):
-                high = int(np.searchsorted(n, centre[0] * 100 // percent, "right"))
-                if high > low:
-                    m = high - low
-                    out.append([*(np.full(m, v) for v in (e, s, centre[1], centre[0], centre[2])), d[low:high], n[low:high], p[low:high]])
-                    low = high
-                if low < len(n):
-                    centre = (int(n[low]), int(d[low]), int(p[low]))
-                    out.append(alone(centre))
-                    low += 1
-            return out, centre
-
-        held = [np.zeros(0, np.int64)] * 5
-
-        def process(e, s, n, d, p, last):
-            nonlocal state
-            parts = []
-            cut = np.flatnonzero((np.diff(e) != 0) | (np.diff(s) != 0)) + 1
-            start = np.concatenate([[0], cut])
-            size = np.diff(np.append(start, len(e)))
-            done = len(start) if last else len(start) - 1  # the last list may go on
-            salted = s[start[:done]] > 0  # a part of a list: its other pairs are unknown, however short it is
-            short = (size[:done] > 1) & (size[:done] <= SHORT) & ~salted
-            first = 0
-            if state is not None and len(start):
-                if (int(e[0]), int(s[0])) == state[:2]:
-                    short[:1] = False
-                    got, centre = star(*state[:2], n[: size[0]], d[: size[0]], p[: size[0]], state[2:])
-                    parts += got
-                    state = (*state[:2], *centre)
-                    first = 1
-                    if done >= 1:
-                        state = None
-                    else:
-                        return parts, [x[:0] for x in (e, s, n, d, p)]
-                else:
-                    state = None
-            for length in np.unique(size[:done][short]).tolist():
-                at = start[:done][short & (size[:done] == length)]
-                for i in range(length):
-                    for j in range(i + 1, length):
-                        x, y = at + i, at + j
-                        near = (100 * n[x] >= percent * n[y]) & ((p[x] < 0) | may_link(n[x], p[x], n[y], p[y], percent))
-                        x, y = x[near], y[near]
-                        if len(x):
-                            zero = np.zeros(len(x), np.int64)
-                            parts.append([zero, zero, d[x], n[x], p[x], d[y], n[y], p[y]])
-            for k in np.flatnonzero((size[:done] > SHORT) | salted).tolist():
-                if k >= first:
-                    a, b = start[k], start[k] + size[k]
-                    parts += star(int(e[a]), int(s[a]), n[a:b], d[a:b], p[a:b], None)[0]
-            if last or not len(start):
-                return parts, [x[:0] for x in (e, s, n, d, p)]
-            a = start[-1]
-            if size[-1] > 100 * SHORT:
-                got, centre = star(int(e[a]), int(s[a]), n[a:], d[a:], p[a:], None)
-                parts += got
-                state = (int(e[a]), int(s[a]), *centre)
-                a = len(e)
-            return parts, [x[a:] for x in (e, s, n, d, p)]
+                    element.append(mixed((every * weights(o, 71)).sum(axis=1, dtype=np.uint64) + np.uint64(o)).view(np.int64))
+                    rows += [k] * len(every)
+            take = pa.array(rows, pa.int64())
+            element = np.concatenate(element) if element else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(element), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(rows), -1))], ["element", "n", "class", "place"])
 
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            if len(held[0]):
-                parts, held = process(*held, False)
-                yield rows(parts)
-        if len(held[0]):
-            parts, held = process(*held, True)
-            yield rows(parts)
+    return small.select("n", "class", "whole").mapInArrow(keyed, "element long, n long, class binary, place long")
 
-    dealt = entries.select("element", "salt", "n", "doc", "place").repartition("element", "salt").sortWithinPartitions("element", "salt", "n", "doc")
-    return dealt.mapInArrow(scanned, PAIRS)
 
+def may_link(na: Column, xa: Column, nb: Column, xb: Column, percent: int) -> Column:
+    """Whether sets may link whose first common element stands at these places (from 0; -1 where subsets met): what can be common is that
+    element and what follows it in either order. A pair that links passes at its first common element, so failing at others loses nothing."""
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return sizes & ((xa < 0) | ((100 + percent) * F.least(na - xa, nb - xb) >= percent * (na + nb)))
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a long list that lie in different components and that the length and place bounds allow."""
 
-    def crossed(batches):
-        held = [np.zeros(0, np.int64)] * 5  # the rows of the last list that can still be near in size
-        for batch in batches:
-            old = len(held[0])
-            e, n, d, c, p = held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            begin = np.maximum.accumulate(np.where(np.concatenate([[True], e[1:] != e[:-1]]), np.arange(len(e)), 0)) if len(e) else e
-            found = []
-            for k in range(old, len(e)):
-                low = begin[k] + int(np.searchsorted(100 * n[begin[k] : k], percent * n[k]))
-                fits = (c[low:k] != c[k]) & ((p[low:k] < 0) | may_link(n[low:k], p[low:k], n[k], p[k], percent))
-                at = low + np.flatnonzero(fits)
-                if len(at):
-                    found.append([d[at], n[at], np.full(len(at), d[k]), np.full(len(at), n[k])])
-            if len(e):
-                keep = (e == e[-1]) & (100 * n >= percent * n[-1])
-                held = [x[keep] for x in held]
-            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "na", "b", "nb"])
-
-    dealt = members.select("element", "n", "doc", "component", "place").repartition("element").sortWithinPartitions("element", "n", "doc")
-    return dealt.mapInArrow(crossed, "a long, na long, b long, nb long")
-
-
-def _checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, bound: bool) -> DataFrame:
-    """The pairs (a, b) that link. With `bound`, those that may link by the upper bound that shortened hashes give.
-
-    Sets move once for each pair: every b to a group of its a, with one copy of a's set for each MEMBERS of them. What document
-    goes where is broadcast if that is small, and joined to the documents otherwise."""
-    spark = docs.sparkSession
-    grouped = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / MEMBERS)))
-    roles = grouped.select(F.col("b").alias("doc"), F.col("a").alias("centre"), "part", F.lit(1).alias("role")).unionByName(grouped.select(F.col("a").alias("doc"), F.col("a").alias("centre"), "part", F.lit(0).alias("role")).distinct())
-    roles = written(roles, "roles")
-    own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    few = roles.count() <= MOST_ROLES
-    if few:
-        table = roles.orderBy("doc", "centre").toArrow()
-        shared = spark.sparkContext.broadcast([table.column(c).to_numpy() for c in ("doc", "centre", "part", "role")])
-        own = own.join(F.broadcast(roles.select("doc").distinct()), "doc", "left_semi")
-    else:
-        lists = roles.groupBy("doc").agg(F.collect_list(F.struct("centre", "part", "role")).alias("roles"))
-        own = own.join(lists.hint("shuffle_hash"), "doc").select("doc", "text", F.col("roles.centre").alias("c"), F.col("roles.part").alias("p"), F.col("roles.role").alias("r"))
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, broadcast where it has at most FEW rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """class and elements of the wanted classes (class, doc): each text of a wanted key whose set is of the class, once."""
+    keys = wanted.select(F.col("doc").alias("its")).distinct()
+    own = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(_few(keys), F.col("doc").eqNullSafe(F.col("its")), "left_semi")
 
     def sent(batches):
         for batch in batches:
-            mine = batch.column(0).fill_null(-(1 << 63)).to_numpy()
-            if few:
-                doc, *rest = shared.value
-                low, high = np.searchsorted(doc, mine, "left"), np.searchsorted(doc, mine, "right")
-                keep = np.flatnonzero(high > low)
-                of = [[x[a:b] for x in rest] for a, b in zip(low[keep].tolist(), high[keep].tolist())]
-            else:
-                keep = np.arange(len(mine))
-                of = list(zip(*([np.array(x, np.int64) for x in batch.column(k).to_pylist()] for k in (2, 3, 4))))
-            for first in range(0, len(keep), 256):
-                some = keep[first : first + 256]
-                out = []
-                for d, roles_of, elements in zip(mine[some].tolist(), of[first : first + 256], _sets(batch.column(1).take(pa.array(some)), size)):
-                    n = len(elements)
-                    if bound:
-                        elements = np.unique((elements >> np.uint64(48)).astype(np.uint16) if n < 4096 else (elements >> np.uint64(32)).astype(np.uint32))
-                    raw = elements.tobytes()
-                    out += [(c, p, r, d, n, raw) for c, p, r in zip(*(x.tolist() for x in roles_of))]
-                columns = list(zip(*out)) if out else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["centre", "part", "role", "doc", "n", "raw"])
-
-    moved = own.mapInArrow(sent, "centre long, part long, role int, doc long, n long, raw binary")
-    moved = moved.repartition("centre", "part").sortWithinPartitions("centre", "part", "role", "doc")
+            for _, data, at in slices(batch.column(0), 1 << 19):
+                sets = [s for s in shingle_hashes(data, at, CLASSES, size) if len(s)]
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["class", "raw"])
+
+    made = own.select("text").mapInArrow(sent, "class binary, raw binary")
+    return written(made.join(_few(wanted.select("class")), "class", "left_semi").dropDuplicates(["class"]), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: every b's set goes to a group of its a, with one copy of a's set for each MEMBERS of them."""
+    members = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    grouped = written(pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "grouped_pairs")
+    role = grouped.select("a", "part", "b").unionByName(grouped.select("a", "part", F.lit(None).cast("binary").alias("b")).distinct())
+    roles = written(role.withColumn("class", F.coalesce("b", "a")), "roles")
+    moved = sets.join(_few(roles), "class").select("a", "part", "b", "raw")
 
     def held(batches):
-        centre, most, its = None, 0, None
+        at, its = None, None
         for batch in batches:
             found = []
-            for c, p, role, d, n, raw in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                kind = np.uint64 if not bound else np.uint16 if n < 4096 else np.uint32
-                own = np.frombuffer(raw, kind)
-                if role == 0:
-                    centre, most, its = (c, p), n, own
+            for k in range(batch.num_rows):
+                a, part, b, raw = (batch.column(c)[k].as_py() for c in range(4))
+                own = np.frombuffer(raw, "<u8")
+                if b is None:
+                    at, its = (a, part), own
                     continue
-                if centre != (c, p):
-                    continue  # a key without a document
-                x, y = its, own
-                if x.dtype != y.dtype:  # the longer hashes are cut to the shorter ones
-                    x, y = (np.unique((v >> np.uint32(16)).astype(np.uint16)) if v.dtype == np.uint32 else v for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if bound:
-                    common += min(most - len(x), n - len(y))
-                if 100 * common >= percent * (most + n - common):
-                    found.append((c, d))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    out = written(moved.mapInArrow(held, "a long, b long"), "links")
+                if at != (a, part):
+                    raise ValueError("a set that others are to be checked against is missing")
+                common = len(np.intersect1d(its, own, assume_unique=True))
+                if 100 * common >= percent * (len(its) + len(own) - common):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    moved = moved.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = written(moved.mapInArrow(held, "a binary, b binary"), "links")
     dropped(roles)
+    dropped(grouped)
     return out
 
 
-def _counted_members(pairs: DataFrame) -> DataFrame:
-    """Pairs with how many of them their `a` has."""
-    return pairs.join(pairs.groupBy("a").agg(F.count("*").alias("members")), "a")
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs that link, by the bound first: few of these pairs do."""
-    near = _checked(_counted_members(pairs), docs, key, text, size, percent, True)
-    return _checked(_counted_members(near.distinct()), docs, key, text, size, percent, False)
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """class and component after more links: only links between components are followed."""
+    ends = links.join(found.select(F.col("class").alias("a"), F.col("component").alias("x")), "a").join(found.select(F.col("class").alias("b"), F.col("component").alias("y")), "b")
+    up = connected_components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    up = written(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "joined")
+    return written(found.join(up, "component", "left").select("class", F.coalesce("up", "component").alias("component")), "components")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles and component_id (the least key that links of at least percent / 100 reach) of every row."""
-    kind = docs.schema[key].dataType
-    frequent = _frequent(docs, text, size)
-    described = written(_described(docs, key, text, size, percent, frequent), "described")
-    # a table, so that the join has a shuffle on either side and a large class's rows can be split
-    classes = written(described.groupBy("sig").agg(F.min("doc").alias("rep")), "classes")
-    member = written(described.select("doc", "n", "sig").join(classes, "sig").select("doc", "n", "rep"), "members")
-    reps = described.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").where("n > 0").dropDuplicates(["doc"])
-    boundary = _boundary(reps, percent)
+    described = _described(docs, key, text, size, percent)
+    collected(docs.sparkSession)
+    grouped = described.where("n > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("rows"), F.max("n").alias("n"), F.first("shared", True).alias("shared"), F.first("whole", True).alias("whole"))
+    grouped = grouped.withColumn("shared", F.filter("shared", lambda x: x["count"] > F.col("rows"))).withColumn("own", F.col("n") - F.size("shared"))
     need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    listed = reps.where(F.col("n") * 100 / percent > boundary)
-    ranked = F.posexplode(F.slice(F.arrays_zip("element", "salt"), F.lit(1), need.cast("int"))).alias("place", "x")
-    entries = listed.select("doc", "n", ranked).select("x.element", "x.salt", "n", "doc", F.col("place").cast("long").alias("place"))
-    small = reps.where(F.col("n") <= boundary)
-    if boundary:
-        entries = entries.unionByName(_subset_keys(small, boundary, percent))
-    pairs = written(_scan_lists(entries, percent), "list_pairs")
-    dropped(described)
-    centres = pairs.where("b is null").select("element", F.lit(0).cast("long").alias("salt"), F.col("na").alias("n"), F.col("a").alias("doc"), F.col("pa").alias("place"))
-    met = written(_scan_lists(centres, percent), "centre_pairs")
-    every = pairs.where("b is not null").unionByName(met)
-    swapped = F.when(F.col("a") < F.col("b"), F.struct("a", "na", "b", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"))).alias("s")
-    flat = every.where("a <> b").where((F.col("pa") < 0) | may_link("na", "pa", "nb", "pb", percent)).select(swapped).select("s.*")
-    candidates = written(flat.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("common")), "candidates")
-    # the likeliest partner of each set first
-    best = candidates.groupBy("b").agg(F.max(F.struct("common", F.struct((-F.col("a")).alias("minus"), "a", "na", "nb").alias("x"))).alias("best"))
-    first = written(best.select("best.x.a", "best.x.na", "b", "best.x.nb"), "first_pairs")
-    links = _checked(_counted_members(first), docs, key, text, size, percent, False)
-    found = written(connected_components(links), "components")
-
-    def labelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
-        own = found.select(F.col("node").alias(column), F.col("component").alias(f"{column}_component"))
-        return df.join(own, column, "left").withColumn(f"{column}_component", F.coalesce(f"{column}_component", column))
-
-    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-        """Components after more links: only the links between components are followed again."""
-        ends = labelled(labelled(links, "a", found), "b", found)
-        up = written(connected_components(ends.select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))), "merged_components")
-        known = found.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
-        moved = known.join(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left")
-        return written(moved.select("node", F.coalesce("up", "component").alias("component")), "components")
-
-    done = first.select("a", "b")
-    open_pairs = labelled(labelled(candidates.select("a", "na", "b", "nb").join(done, ["a", "b"], "left_anti"), "a", found), "b", found).where("a_component <> b_component").select("a", "na", "b", "nb")
-    second = written(open_pairs, "second_pairs")
-    if not second.isEmpty():
-        found = merged(found, _linked(second, docs, key, text, size, percent))
-    # what long lists still hide: pairs across components that were no candidates
-    long_rows = every.where("element <> 0")
-    lists = long_rows.select("element", F.col("na").alias("n"), F.col("a").alias("doc"), F.col("pa").alias("place")).unionByName(long_rows.select("element", F.col("nb").alias("n"), F.col("b").alias("doc"), F.col("pb").alias("place"))).unionByName(centres.select("element", "n", "doc", "place")).distinct()
-    lists = written(labelled(lists, "doc", found).withColumnRenamed("doc_component", "component"), "long_lists")
-    mixed_lists = written(lists.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("element"), "mixed_lists")
-    hidden = _cross_pairs(lists.join(mixed_lists, "element", "left_semi"), percent)
-    hidden = hidden.select(swapped).select("s.*").distinct()
-    third = written(hidden.join(done.unionByName(second.select("a", "b")), ["a", "b"], "left_anti"), "third_pairs")
-    if not third.isEmpty():
-        found = merged(found, _linked(third, docs, key, text, size, percent))
-    out = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc"))).cast(kind).alias("component_id"))
+    classes = written(grouped.withColumn("shared", F.slice("shared", 1, F.greatest(F.lit(0), need - F.col("own")).cast("int"))), "classes")
+    entries = classes.select("class", "n", "own", F.posexplode("shared").alias("k", "x")).select(F.col("x.id").alias("element"), "n", "class", (F.col("own") + F.col("k")).alias("place"))
+    held = written(entries, "entries")
+
+    def several(entries: DataFrame) -> DataFrame:
+        """The entries whose list holds at least two sets, with its length."""
+        lists = written(entries.groupBy("element").agg(F.count("*").alias("length")).where("length > 1"), "lists")
+        return entries.join(lists, "element")
+
+    lists = written(several(held), "entries")
+    small = classes.where(F.col("n") <= WHOLE)
+    cost = {r.n: r.c for r in lists.where(F.col("n") <= WHOLE).groupBy("n").agg(F.sum("length").alias("c")).collect()}
+    most = boundary({r.n: r.c for r in small.groupBy("n").agg(F.count("*").alias("c")).collect()}, cost, percent)
+    if most:
+        subsets = several(_subset_keys(small.where(F.col("n") <= most), most, percent))
+        lists = written(lists.where(F.col("n") * 100 > most * percent).unionByName(subsets), "entries")
+    dropped(held)
+    first = written(lists.select("class").distinct(), "open_classes")
+    wanted = written(classes.select("class", "doc").join(first, "class", "left_semi"), "wanted")
+    found = wanted.select("class", F.col("class").alias("component"))
+    if not wanted.isEmpty():
+        sets = _sets(docs, wanted, key, text, size)
+        found = _components(lists, written(found, "components"), sets, percent)
+    least = classes.select("class", "doc").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = written(least, "class_components")
+    ids = written(least.groupBy("component").agg(F.min("doc").alias("component_id")), "component_ids")
+    labels = written(least.join(ids, "component").select("class", "component_id"), "labels")
+    out = described.select("doc", "n", "class").join(labels, "class", "left")
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def _components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """class and component of all sets of the lists."""
+    band = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent)).alias("band")
+    last = None
+    for k in range(64):
+        now = written(lists.drop("length").join(found, "class").select("element", "n", "class", "place", "component", band), "labelled_lists")
+        parts = now.groupBy("element", "component").agg(F.count("*").cast("double").alias("c"))
+        # pairs of different components, and rows
+        crossed, rows = parts.groupBy("element").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+        if not crossed:
+            break
+        if crossed <= rows / 4 or last is not None and crossed > 0.8 * last:
+            return _merged(found, _linked(_crossing(now, parts, percent), sets, percent))
+        last = crossed
+        prior = F.xxhash64("class", F.lit(k)).alias("prior")
+        leaders = now.groupBy("element", "band").agg(F.min(F.struct(prior, "class", "n", "place", "component")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("element", "band", "lead")
+        met = now.join(written(leaders, "leaders"), ["element", "band"]).where(F.col("component") != F.col("lead.component"))
+        met = met.where(may_link(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"), percent))
+        often = met.groupBy(F.col("lead.class").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("often"))
+        best = often.groupBy("b").agg(F.max(F.struct("often", "a")).alias("best"))
+        links = _linked(written(best.select("best.a", "b"), "pairs"), sets, percent)
+        found = _merged(found, links)
+        dropped(now)
+        collected(found.sparkSession)
+    return found
+
+
+def _crossing(now: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one list and different components that the bounds allow: the rows outside a list's main component against all others."""
+    main = parts.groupBy("element").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    main = written(main.select("element", F.col("main.component").alias("main")), "main_components")
+    rows = written(now.join(main, "element").select("element", "n", "class", "place", "component", (F.col("component") == F.col("main")).alias("inside")), "mixed_lists")
+    x, y = written(rows.where("not inside"), "outsiders").alias("x"), rows.alias("y")
+    fits = (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.inside") | (F.col("x.class") < F.col("y.class")))
+    fits &= may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
+    pairs = x.join(y, fits).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    return written(pairs.distinct(), "pairs")

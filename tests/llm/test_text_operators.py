@@ -95,11 +95,21 @@ def test_jaccard_odd(spark, odd_rows):
     check_jaccard(spark, [r for r in odd_rows if r[0] is not None])
 
 
-def test_jaccard_null_keys_and_nothing(spark, odd, none):
-    assert jaccard_join.jaccard_components(odd).count() == odd.count()
+def test_jaccard_null_keys_and_nothing(spark, odd, odd_rows, none):
+    got = jaccard_join.jaccard_components(odd).collect()
+    assert by_key([r for r in got if r.doc_id is not None]) == jaccard_brute([r for r in odd_rows if r[0] is not None])
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (1, None)]
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_string_and_repeated_keys(spark):
+    """Keys of another type; two unlike texts under one key; a copy whose key is null belongs to its keyed copy."""
+    words = [f"w{j}" for j in range(40)]
+    rows = [("b", " ".join(words)), ("a", " ".join([*words, "x"])), (None, " ".join(words)), ("c", " ".join(f"v{j}" for j in range(9))), ("b", "something else under b")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == [("None", 36, "a"), ("a", 37, "a"), ("b", 1, "b"), ("b", 36, "a"), ("c", 5, "c")]
+
+
 def test_jaccard_groups(spark):
     """Chains, stars of near copies that are no pairs of each other, and small sets at the bound."""
     rng = np.random.default_rng(3)
@@ -126,11 +136,11 @@ def test_jaccard_groups(spark):
     check_jaccard(spark, rows)
 
 
-@pytest.mark.parametrize("short", [1, 8])
-def test_long_lists_hide_no_link(spark, monkeypatch, short):
-    """With tiny bounds every list is long, or salted into parts of one set."""
-    monkeypatch.setattr(jaccard_join, "SHORT", short)
-    monkeypatch.setattr(jaccard_join, "SALTED", 2)
+@pytest.mark.parametrize("few", [0, 1000])
+def test_small_bounds_lose_no_link(spark, monkeypatch, few):
+    """Many chunks and buckets, sets checked in pairs, and joins instead of broadcasts."""
+    for name, value in (("CHUNK", 300), ("BUCKET", 16), ("MOST_ROWS", 7), ("MEMBERS", 2), ("FEW", few)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(8)
     base = [f"w{j}" for j in range(60)]
     rows = []
