@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, count
 from math import ceil, comb, log, log2
 
 import numpy as np
@@ -54,7 +54,11 @@ WHOLE = 32
 #: The bound of what is broadcast, in rows of at most 40 bytes.
 FEW = 500_000
 #: Members that are checked against one copy of their partner's set.
-MEMBERS = 512
+MEMBERS = 64
+#: Leaders that a set is checked against in a round.
+LIKELY = 4
+#: 64-bit words of a set's sketch.
+WORDS = 16
 
 
 def least_overlap(m: int, n: int, percent: int) -> int:
@@ -300,7 +304,8 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """class and elements of the wanted classes (class, doc): each text of a wanted key whose set is of the class, once."""
+    """class, n, elements (raw) and sketch of the wanted classes (class, doc), from each text of a wanted key whose set is of the class, once.
+    A sketch has a bit for each value that an element's hash may have modulo its length."""
     keys = wanted.select(F.col("doc").alias("its")).distinct()
     own = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(_few(keys), F.col("doc").eqNullSafe(F.col("its")), "left_semi")
 
@@ -309,19 +314,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) ->
             for _, data, at in slices(batch.column(0), 1 << 19):
                 sets = [s for s in shingle_hashes(data, at, CLASSES, size) if len(s)]
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["class", "raw"])
-
-    made = own.select("text").mapInArrow(sent, "class binary, raw binary")
+                bit = np.zeros((len(sets), 64 * WORDS), np.uint8)
+                for k, s in enumerate(sets):
+                    bit[k, s % np.uint64(64 * WORDS)] = 1
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(np.packbits(bit).view(np.int64)))
+                columns = [pa.array(digest, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), sketch]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "n", "raw", "sketch"])
+
+    made = own.select("text").mapInArrow(sent, "class binary, n long, raw binary, sketch array<long>")
     return written(made.join(_few(wanted.select("class")), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their sketches, with the bound (in percent). Each bit that only one of both has stands for an
+    element that the other one lacks, so what is common is at most the rest."""
+    own = [sets.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    both = pairs.join(own[0], "a").join(own[1], "b")
+    lacks = [sum(F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(WORDS)) for x, y in (("sa", "sb"), ("sb", "sa"))]
+    both = both.withColumn("common", F.least(F.col("na") - lacks[0], F.col("nb") - lacks[1])).where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb")))
+    return both.select("a", "b", (100 * F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("most"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: every b's set goes to a group of its a, with one copy of a's set for each MEMBERS of them."""
     members = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     grouped = written(pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "grouped_pairs")
     role = grouped.select("a", "part", "b").unionByName(grouped.select("a", "part", F.lit(None).cast("binary").alias("b")).distinct())
     roles = written(role.withColumn("class", F.coalesce("b", "a")), "roles")
-    moved = sets.join(_few(roles), "class").select("a", "part", "b", "raw")
+    moved = sets.select("class", "raw").join(_few(roles), "class").select("a", "part", "b", "raw")
 
     def held(batches):
         at, its = None, None
@@ -347,12 +367,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """class and component after more links: only links between components are followed."""
+def _merged(found: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """class and component after more links, and how many components have joined others: only links between components are followed."""
     ends = links.join(found.select(F.col("class").alias("a"), F.col("component").alias("x")), "a").join(found.select(F.col("class").alias("b"), F.col("component").alias("y")), "b")
     up = connected_components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    up = written(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "joined")
-    return written(found.join(up, "component", "left").select("class", F.coalesce("up", "component").alias("component")), "components")
+    up = written(up.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("up")), "joined")
+    return written(found.join(up, "component", "left").select("class", F.coalesce("up", "component").alias("component")), "components"), up.count()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -395,38 +415,46 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """class and component of all sets of the lists."""
-    band = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent)).alias("band")
-    last = None
-    for k in range(64):
-        now = written(lists.drop("length").join(found, "class").select("element", "n", "class", "place", "component", band), "labelled_lists")
-        parts = now.groupBy("element", "component").agg(F.count("*").cast("double").alias("c"))
-        # pairs of different components, and rows
-        crossed, rows = parts.groupBy("element").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not crossed:
-            break
-        if crossed <= rows / 4 or last is not None and crossed > 0.8 * last:
-            return _merged(found, _linked(_crossing(now, parts, percent), sets, percent))
-        last = crossed
-        prior = F.xxhash64("class", F.lit(k)).alias("prior")
-        leaders = now.groupBy("element", "band").agg(F.min(F.struct(prior, "class", "n", "place", "component")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("element", "band", "lead")
-        met = now.join(written(leaders, "leaders"), ["element", "band"]).where(F.col("component") != F.col("lead.component"))
-        met = met.where(may_link(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"), percent))
-        often = met.groupBy(F.col("lead.class").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("often"))
-        best = often.groupBy("b").agg(F.max(F.struct("often", "a")).alias("best"))
-        links = _linked(written(best.select("best.a", "b"), "pairs"), sets, percent)
-        found = _merged(found, links)
+    lists, poor = lists.drop("length"), False
+    for k in count():
+        now = written(lists.join(found, "class").select("element", "n", "class", "place", "component"), "labelled_lists")
+        parts = now.groupBy("element", "component").agg(F.count("*").alias("c"))
+        main = parts.groupBy("element").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("length")).where("k > 1")
+        main = written(main.select("element", F.col("main.component").alias("main"), "length"), "main_components")
+        # lists of one component are done for good
+        lists = written(now.join(main.select("element", "main"), "element"), "mixed_lists")
         dropped(now)
+        longest = main.agg(F.max("length")).first()[0]
+        if not longest:
+            return found
+        outside = written(lists.where("component <> main"), "outsiders")
+        if poor or 4**k > longest:
+            return _merged(found, _linked(_crossing(lists, outside, sets, percent), sets, percent))[0]
+        pairs = _to_leaders(lists, outside, sets, k, 4**k, percent)
+        found, joined = _merged(found, _linked(pairs, sets, percent))
+        poor = 20 * joined < pairs.select("b").distinct().count()
+        lists = lists.select("element", "n", "class", "place")
         collected(found.sparkSession)
-    return found
 
 
-def _crossing(now: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list and different components that the bounds allow: the rows outside a list's main component against all others."""
-    main = parts.groupBy("element").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    main = written(main.select("element", F.col("main.component").alias("main")), "main_components")
-    rows = written(now.join(main, "element").select("element", "n", "class", "place", "component", (F.col("component") == F.col("main")).alias("inside")), "mixed_lists")
-    x, y = written(rows.where("not inside"), "outsiders").alias("x"), rows.alias("y")
-    fits = (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.inside") | (F.col("x.class") < F.col("y.class")))
+def _to_leaders(lists: DataFrame, outside: DataFrame, sets: DataFrame, k: int, leaders: int, percent: int) -> DataFrame:
+    """For each outsider the likeliest LIKELY of its lists' leaders in other components. A list has up to `leaders` of them for each band of
+    sizes, others in each round; bands move, so that no group of near copies is cut by them again and again."""
+    band = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent) + k * 0.382)
+    prior = F.xxhash64("class", F.lit(k))
+    lead = lists.groupBy("element", band.alias("band"), F.pmod(prior, F.lit(leaders)).alias("part")).agg(F.min(F.struct(prior.alias("prior"), "class", "n", "place", "component")).alias("lead"))
+    met = outside.withColumn("band", band).join(written(lead, "leaders"), ["element", "band"]).where(F.col("component") != F.col("lead.component"))
+    met = met.where(may_link(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"), percent))
+    pairs = written(met.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "met")
+    best = _likely(pairs, sets, percent).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("most", "a")), False), 1, LIKELY).alias("best"))
+    return written(best.select(F.explode("best.a").alias("a"), "b"), "pairs")
+
+
+def _crossing(lists: DataFrame, outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one list and different components that the bounds allow: outsiders against the main component and each other."""
+    x, y = outside.alias("x"), lists.alias("y")
+    fits = (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.class") < F.col("y.class")))
     fits &= may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
     pairs = x.join(y, fits).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    return written(pairs.distinct(), "pairs")
+    pairs = written(pairs.distinct(), "crossing")
+    return written(_likely(pairs, sets, percent).select("a", "b"), "pairs")
