@@ -53,10 +53,12 @@ MOST_ROWS = 65_000
 WHOLE = 32
 #: The bound of what is broadcast, in rows of at most 40 bytes.
 FEW = 500_000
-#: Members that are checked against one copy of their partner's set.
-MEMBERS = 64
-#: Leaders that a set is checked against in a round.
-LIKELY = 4
+#: Groups of the sets that are checked against one copy of their partner's set, and pairs for each further group.
+PARTS, MEMBERS = 16, 4096
+#: The bound of what is broadcast with sketches (160 bytes each).
+FEW_SKETCHES = 65_536
+#: Leaders that a set is checked against in a round, and how many times more leaders a list has in the next round.
+LIKELY, GROWTH = 4, 16
 #: 64-bit words of a set's sketch.
 WORDS = 16
 
@@ -328,7 +330,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) ->
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may link by their sketches, with the bound (in percent). Each bit that only one of both has stands for an
     element that the other one lacks, so what is common is at most the rest."""
+    few = sets.count() <= FEW_SKETCHES
     own = [sets.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    own = [F.broadcast(x) if few else x for x in own]
     both = pairs.join(own[0], "a").join(own[1], "b")
     lacks = [sum(F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(WORDS)) for x, y in (("sa", "sb"), ("sb", "sa"))]
     both = both.withColumn("common", F.least(F.col("na") - lacks[0], F.col("nb") - lacks[1])).where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb")))
@@ -336,12 +340,13 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: every b's set goes to a group of its a, with one copy of a's set for each MEMBERS of them."""
-    members = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    grouped = written(pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "grouped_pairs")
-    role = grouped.select("a", "part", "b").unionByName(grouped.select("a", "part", F.lit(None).cast("binary").alias("b")).distinct())
-    roles = written(role.withColumn("class", F.coalesce("b", "a")), "roles")
-    moved = sets.select("class", "raw").join(_few(roles), "class").select("a", "part", "b", "raw")
+    """The pairs (a, b) that link: b's sets go to groups of their a, with one copy of a's set for each group. There are more groups for an
+    a where there are more pairs, so that one that very many are checked against fills no task."""
+    many = pairs.count()
+    grouped = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(PARTS + many // MEMBERS)).alias("part"), "b")
+    role = grouped.unionByName(grouped.select("a", "part", F.lit(None).cast("binary").alias("b")).distinct())
+    roles = role.withColumn("class", F.coalesce("b", "a"))
+    moved = sets.select("class", "raw").join(F.broadcast(roles) if 2 * many <= FEW else roles, "class").select("a", "part", "b", "raw")
 
     def held(batches):
         at, its = None, None
@@ -361,18 +366,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     moved = moved.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    out = written(moved.mapInArrow(held, "a binary, b binary"), "links")
-    dropped(roles)
-    dropped(grouped)
-    return out
+    return written(moved.mapInArrow(held, "a binary, b binary"), "links")
 
 
 def _merged(found: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     """class and component after more links, and how many components have joined others: only links between components are followed."""
-    ends = links.join(found.select(F.col("class").alias("a"), F.col("component").alias("x")), "a").join(found.select(F.col("class").alias("b"), F.col("component").alias("y")), "b")
+    known = _few(found)
+    ends = links.join(known.select(F.col("class").alias("a"), F.col("component").alias("x")), "a").join(known.select(F.col("class").alias("b"), F.col("component").alias("y")), "b")
     up = connected_components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
     up = written(up.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("up")), "joined")
-    return written(found.join(up, "component", "left").select("class", F.coalesce("up", "component").alias("component")), "components"), up.count()
+    return written(found.join(_few(up), "component", "left").select("class", F.coalesce("up", "component").alias("component")), "components"), up.count()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -415,24 +418,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """class and component of all sets of the lists."""
+    longest = lists.agg(F.max("length")).first()[0]
     lists, poor = lists.drop("length"), False
     for k in count():
-        now = written(lists.join(found, "class").select("element", "n", "class", "place", "component"), "labelled_lists")
-        parts = now.groupBy("element", "component").agg(F.count("*").alias("c"))
-        main = parts.groupBy("element").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("length")).where("k > 1")
-        main = written(main.select("element", F.col("main.component").alias("main"), "length"), "main_components")
+        now = lists.join(_few(found), "class").select("element", "n", "class", "place", "component")
+        main = now.groupBy("element", "component").agg(F.count("*").alias("c")).groupBy("element").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k"))
         # lists of one component are done for good
-        lists = written(now.join(main.select("element", "main"), "element"), "mixed_lists")
-        dropped(now)
-        longest = main.agg(F.max("length")).first()[0]
-        if not longest:
+        lists = written(now.join(main.where("k > 1").select("element", F.col("main.component").alias("main")), "element"), "mixed_lists")
+        if not lists.count():
             return found
-        outside = written(lists.where("component <> main"), "outsiders")
-        if poor or 4**k > longest:
+        outside = lists.where("component <> main")
+        if poor or GROWTH**k > longest:
             return _merged(found, _linked(_crossing(lists, outside, sets, percent), sets, percent))[0]
-        pairs = _to_leaders(lists, outside, sets, k, 4**k, percent)
+        pairs = _to_leaders(lists, outside, sets, k, GROWTH**k, percent)
         found, joined = _merged(found, _linked(pairs, sets, percent))
-        poor = 20 * joined < pairs.select("b").distinct().count()
+        poor = 20 * LIKELY * joined < pairs.count()
         lists = lists.select("element", "n", "class", "place")
         collected(found.sparkSession)
 
@@ -443,7 +443,7 @@ def _to_leaders(lists: DataFrame, outside: DataFrame, sets: DataFrame, k: int, l
     band = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent) + k * 0.382)
     prior = F.xxhash64("class", F.lit(k))
     lead = lists.groupBy("element", band.alias("band"), F.pmod(prior, F.lit(leaders)).alias("part")).agg(F.min(F.struct(prior.alias("prior"), "class", "n", "place", "component")).alias("lead"))
-    met = outside.withColumn("band", band).join(written(lead, "leaders"), ["element", "band"]).where(F.col("component") != F.col("lead.component"))
+    met = outside.withColumn("band", band).join(lead, ["element", "band"]).where(F.col("component") != F.col("lead.component"))
     met = met.where(may_link(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"), percent))
     pairs = written(met.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "met")
     best = _likely(pairs, sets, percent).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("most", "a")), False), 1, LIKELY).alias("best"))

@@ -139,7 +139,7 @@ def test_jaccard_groups(spark):
 @pytest.mark.parametrize("few", [0, 1000])
 def test_small_bounds_lose_no_link(spark, monkeypatch, few):
     """Many chunks and buckets, sets checked in pairs, and joins instead of broadcasts."""
-    for name, value in (("CHUNK", 300), ("BUCKET", 16), ("MOST_ROWS", 7), ("MEMBERS", 2), ("FEW", few)):
+    for name, value in (("CHUNK", 300), ("BUCKET", 16), ("MOST_ROWS", 7), ("MEMBERS", 2), ("FEW", few), ("FEW_SKETCHES", few)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(8)
     base = [f"w{j}" for j in range(60)]
@@ -162,9 +162,10 @@ def test_subset_sizes_cover_every_link(n):
                 assert any(o <= common for o in both)
 
 
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
-def test_components(spark, edges):
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40), st.sampled_from([0, 1000]))
+def test_components(spark, edges, few):
+    components.FEW = few  # by rounds of shuffles, and by one task
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {}
     for a, b in edges:
