@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import byte_classes, collected, dropped, mixed, shingle_hashes, slices, weights, written
+from .shared import batches_of, byte_classes, collected, dropped, lean, mixed, shingle_hashes, slices, weights, written
 
 #: White space separates words; A-Z is lower-cased.
 CLASSES = byte_classes(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -147,7 +147,7 @@ def _dealt(docs: DataFrame, key: str, text: str, size: int, bits: int) -> DataFr
             yield from sent()
 
     said = ", ".join([*BUCKET_ROW, *CHUNK_ROW, f"keys array<{kind.simpleString()}>"])
-    return docs.select(key, text).mapInArrow(dealt, said)
+    return docs.select(key, text).mapInArrow(lean(dealt), said)
 
 
 def _answered(sent: DataFrame, keys: str) -> DataFrame:
@@ -203,7 +203,7 @@ def _answered(sent: DataFrame, keys: str) -> DataFrame:
             yield said()
 
     said = ", ".join(["bucket int", "chunk long", "low binary", "row binary", "count binary", "many_count binary", *own, f"keys {keys}"])
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answered, said)
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(lean(answered), said)
 
 
 def _described(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _described(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
             yield said()
 
     dealt = answers.repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return written(dealt.mapInArrow(finished, f"doc {kind}, n long, class binary, shared array<struct<count:bigint,id:bigint>>, whole array<bigint>"), "described")
+    return written(dealt.mapInArrow(lean(finished), f"doc {kind}, n long, class binary, shared array<struct<count:bigint,id:bigint>>, whole array<bigint>"), "described")
 
 
 def boundary(sets: dict[int, int], list_cost: dict[int, float], percent: int) -> int:
@@ -290,7 +290,7 @@ def _subset_keys(small: DataFrame, most: int, percent: int) -> DataFrame:
             element = np.concatenate(element) if element else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(element), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(rows), -1))], ["element", "n", "class", "place"])
 
-    return small.select("n", "class", "whole").mapInArrow(keyed, "element long, n long, class binary, place long")
+    return small.select("n", "class", "whole").mapInArrow(lean(keyed), "element long, n long, class binary, place long")
 
 
 def may_link(na: Column, xa: Column, nb: Column, xb: Column, percent: int) -> Column:
@@ -323,7 +323,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) ->
                 columns = [pa.array(digest, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), sketch]
                 yield pa.RecordBatch.from_arrays(columns, ["class", "n", "raw", "sketch"])
 
-    made = own.select("text").mapInArrow(sent, "class binary, n long, raw binary, sketch array<long>")
+    made = own.select("text").mapInArrow(lean(sent), "class binary, n long, raw binary, sketch array<long>")
     return written(made.join(_few(wanted.select("class")), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
 
@@ -366,7 +366,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     moved = moved.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return written(moved.mapInArrow(held, "a binary, b binary"), "links")
+    return written(moved.mapInArrow(lean(held), "a binary, b binary"), "links")
 
 
 def _merged(found: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
@@ -380,7 +380,8 @@ def _merged(found: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles and component_id (the least key that links of at least percent / 100 reach) of every row."""
-    described = _described(docs, key, text, size, percent)
+    with batches_of(docs.sparkSession, 2000):
+        described = _described(docs, key, text, size, percent)
     collected(docs.sparkSession)
     grouped = described.where("n > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("rows"), F.max("n").alias("n"), F.first("shared", True).alias("shared"), F.first("whole", True).alias("whole"))
     grouped = grouped.withColumn("shared", F.filter("shared", lambda x: x["count"] > F.col("rows"))).withColumn("own", F.col("n") - F.size("shared"))
@@ -406,7 +407,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = written(classes.select("class", "doc").join(first, "class", "left_semi"), "wanted")
     found = wanted.select("class", F.col("class").alias("component"))
     if not wanted.isEmpty():
-        sets = _sets(docs, wanted, key, text, size)
+        with batches_of(docs.sparkSession, 2000):
+            sets = _sets(docs, wanted, key, text, size)
         found = _components(lists, written(found, "components"), sets, percent)
     least = classes.select("class", "doc").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = written(least, "class_components")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts, written
+from .shared import lean, texts, written
 
 #: Fixed lexicon.
 LEXICON = tuple("asshole bastard bitch clown crap cretin cunt disgusting dumbass filth fool idiot imbecile loser moron pathetic retard scum slut stupid trash vermin whore worthless".split())
@@ -82,7 +82,7 @@ def _counted(docs: DataFrame, sample: dict, wanted: int, only: set[bytes] | None
                 total.update(found if only is None else found & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
 
-    rows = docs.mapInArrow(counted, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = docs.mapInArrow(lean(counted), "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     got = rows.orderBy(F.desc("n"), "feature").limit(most).toArrow()
     return dict(zip(got.column("feature").to_pylist(), got.column("n").to_pylist()))
 
@@ -184,7 +184,7 @@ def fit_label_model(patterns: DataFrame, model: LabelModel, known: tuple[np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["one", "total"])
 
         # one short vector from each task, added up in a tree
-        parts = patterns.mapInArrow(expected, "one int, total array<double>").select(F.posexplode("total").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+        parts = patterns.mapInArrow(lean(expected), "one int, total array<double>").select(F.posexplode("total").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
         total = np.zeros(2 * width)
         for r in parts.collect():
             total[r.k] = r.x
@@ -258,7 +258,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([finder(t) for t in texts(batch.column(1))], pa.list_(pa.int32())), *batch.columns[2:]], [key, "found", *carried])
 
-    table = written(docs.select(key, text, *carried).mapInArrow(described, f"`{key}` {kind}, found array<int>{more}"), "features")
+    table = written(docs.select(key, text, *carried).mapInArrow(lean(described), f"`{key}` {kind}, found array<int>{more}"), "features")
     ids = own.sparkSession.createDataFrame([(k, y) for k, y in sample.items()], f"`{key}` {kind}, y int") if sample else None
     rows = table.join(F.broadcast(ids), key).select("y", "found").collect() if ids is not None else []  # most_rows of either class at most
     voters = choose_voters([(r.y, r.found) for r in rows], listed, [], most_voters)
@@ -294,5 +294,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             score = [1 / (1 + np.exp(-np.clip(bias + weight[own].sum(), -60, 60))) if own else 1 / (1 + np.exp(-np.clip(bias, -60, 60))) for own in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array([len(voters.intersection(own)) for own in lists], pa.int64()), *batch.columns[2:]], [key, "score", "votes", *carried])
 
-    out = table.mapInArrow(scored, f"`{key}` {kind}, score double, votes long{more}")
+    out = table.mapInArrow(lean(scored), f"`{key}` {kind}, score double, votes long{more}")
     return out.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "votes", *carried)
