@@ -165,8 +165,11 @@ def test_subset_sizes_cover_every_link(n):
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40), st.sampled_from([0, 1000]))
 def test_components(spark, edges, few):
-    components.FEW = few  # by rounds of shuffles, and by one task
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    before, components.FEW = components.FEW, few  # by rounds of shuffles, and by one task
+    try:
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        components.FEW = before
     root = {}
     for a, b in edges:
         if a != b:
