@@ -280,6 +280,8 @@ def encoder(path: str) -> Encoder:
 
 def _segment(ids: list[np.ndarray]) -> dict:
     stream = np.concatenate(ids)
+    if len(stream) and not 0 <= int(stream.min()) <= int(stream.max()) < 1 << 16:
+        raise ValueError(f"ids are coded in 16 bits; there is one from {stream.min()} to {stream.max()}")
     blocks = [stream[k : k + BLOCK] for k in range(0, len(stream), BLOCK)]
     coded = encode_blocks(blocks)
     return {

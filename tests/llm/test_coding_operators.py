@@ -191,3 +191,10 @@ def test_pcm_blocks(spark):
     blocks = sorted(media_columns.pcm_blocks(media).collect(), key=lambda r: r.block)
     assert b"".join(bytes(r.pcm) for r in blocks)[:1500] == b"abc" * 500
     assert [r.first_sample for r in blocks] == [0, 576, 1152] and blocks[0].byte_offset == 0
+
+
+@pytest.mark.parametrize("wrong", [70_000, 1 << 16, -1])
+def test_ids_beyond_16_bits_are_refused(wrong):
+    """They would come back as others, with a right checksum."""
+    with pytest.raises(ValueError, match="16 bits"):
+        id_coder._segment([np.array([1, 2, wrong], np.int32)])
