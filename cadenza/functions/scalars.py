@@ -68,13 +68,14 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def least_common_multiple(values: Column) -> Column:
-    """Of an array of positive whole numbers; Euclid's steps run in a bounded fold (a 64-bit pair needs at most 92)."""
+    """Of an array of positive whole numbers; Euclid's steps run in a bounded fold (a 64-bit pair needs at most 92). Divided as
+    whole numbers, as doubles would be wrong beyond 2**53."""
     steps = F.sequence(F.lit(1), F.lit(92))
 
     def gcd(a: Column, b: Column) -> Column:
         return F.aggregate(steps, F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.greatest(s["b"], F.lit(1).cast("long"))).alias("b"))), lambda s: s["a"])
 
-    return F.aggregate(values, F.lit(1).cast("long"), lambda done, x: (done / gcd(done, x.cast("long"))).cast("long") * x)
+    return F.aggregate(values, F.lit(1).cast("long"), lambda done, x: F.call_function("div", done, gcd(done, x.cast("long"))) * x.cast("long"))
 
 
 def shown_extras(extra: Column, expected: Column) -> Column:

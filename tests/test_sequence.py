@@ -202,3 +202,12 @@ def test_line_distance_of_the_whole_page():
     page[220:400:7, ::12] = True  # dots under every twelfth column, seven pixels apart
     assert geometry.line_distance(page) == 12
     assert geometry.line_distance(np.zeros((50, 50), bool)) is None
+
+
+def test_least_common_multiple_of_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from cadenza.functions.scalars import least_common_multiple
+
+    got = spark.createDataFrame([([9007199254740993, 2],), ([4, 6, 10],), ([7],)], "x array<long>").select(least_common_multiple(F.col("x")).alias("y"))
+    assert [r.y for r in got.collect()] == [18014398509481986, 60, 7]
