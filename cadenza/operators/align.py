@@ -10,44 +10,64 @@ from pyspark.sql import functions as F
 SKIP = 0.5
 
 
-def align(presence: np.ndarray, free_start: bool = True) -> tuple[list[tuple[int, int]], float]:
-    """Pairs (expected, observed) of the best alignment of a presence matrix, and its score.
+#: Gains are rounded to this, so that sums are exact and equal scores are equal numbers.
+GRAIN = 2.0**-30
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.rint(x / GRAIN) * GRAIN
 
-    A pair is worth 2 * presence - 0.8, a skip of either side costs SKIP; skips before the first pair and after the last are free
-    (without free_start, those before the first pair cost too). Equal scores: pair, then skipped expected, then skipped observed; the end is the first best
-    place of the last row, then of the last column."""
-    n, k = presence.shape
-    gain = 2 * presence - 0.8
+
+def _table(presence: np.ndarray, late_start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores of all prefixes and the gains of all pairs, a row at a time: what skipped observed rows leave of a place to the
+    left is a running maximum once each place is raised by what the skips up to it cost. late_start is the price of each expected
+    row before the first pair."""
+    gain = _rounded(2 * presence - 0.8)
+    n, k = gain.shape
+    price = SKIP * np.arange(k + 1)
     best = np.zeros((n + 1, k + 1))
-    step = np.zeros((n + 1, k + 1), np.int8)
-    if not free_start:
-        best[1:, 0] = -SKIP * np.arange(1, n + 1)
-    for i in range(1, n + 1):
-        pair, down = best[i - 1, :-1] + gain[i - 1], best[i - 1, 1:] - SKIP
-        row, kind = best[i], step[i]
-        for j in range(1, k + 1):
-            value, what = pair[j - 1], 1
-            if down[j - 1] > value:
-                value, what = down[j - 1], 2
-            if row[j - 1] - SKIP > value:
-                value, what = row[j - 1] - SKIP, 3
-            row[j], kind[j] = value, what
-    at, top = (n, 0), -np.inf
-    for place in [(n, j) for j in range(k + 1)] + [(i, k) for i in range(n + 1)]:
-        if best[place] > top:
-            at, top = place, best[place]
-    i, j = at
-    pairs = []
-    while i > 0 and j > 0:
-        what = step[i, j]
-        if what == 1:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif what == 2:
-            i -= 1
+    best[:, 0] = _rounded(-late_start * np.arange(n + 1))
+    for above, row, own in zip(best, best[1:], gain):
+        row[1:] = np.maximum(above[:-1] + own, above[1:] - SKIP)
+        row[:] = np.maximum.accumulate(row + price) - price
+    return best, gain
+
+
+def _pairs(best: np.ndarray, gain: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    """The way back from a place. Scores are exact, so they tell where each came from; equal ways: pair, then skipped expected."""
+    found = []
+    while i and j:
+        i, j = i - 1, j - 1
+        if best[i + 1, j + 1] == best[i, j] + gain[i, j]:
+            found.append((i, j))
+        elif best[i + 1, j + 1] == best[i, j + 1] - SKIP:
+            j += 1
         else:
-            j -= 1
-    return pairs[::-1], float(top)
+            i += 1
+    return found[::-1]
+
+
+def align(presence: np.ndarray) -> tuple[list[tuple[int, int]], float]:
+    """Pairs (expected, observed) of the best alignment of a presence matrix, and its score.
+
+    A pair is worth 2 * presence - 0.8, a skip of either side costs SKIP; skips before the first pair and after the last are free.
+    Equal scores: pair, then skipped expected, then skipped observed; the end is the first best place of the last row, then of the
+    last column. Time and memory are the product of both lengths."""
+    best, gain = _table(presence, 0.0)
+    i, j = int(best[:, -1].argmax()), int(best[-1].argmax())
+    if best[-1, j] >= best[i, -1]:
+        i = len(best) - 1
+    else:
+        j = best.shape[1] - 1
+    return _pairs(best, gain, i, j), float(best[i, j])
+
+
+def align_suffix(presence: np.ndarray, anchored: bool) -> tuple[list[tuple[int, int]], float]:
+    """Pairs that use up all observed rows, and their score: expected rows may be left over at the end. Without an anchor a late
+    start is cheap. Equal scores end at the first expected row."""
+    best, gain = _table(presence, SKIP if anchored else 0.1)
+    i = int(best[:, -1].argmax())
+    return _pairs(best, gain, i, best.shape[1] - 1), float(best[i, -1])
 
 
 def aligned(expected: DataFrame, observed: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -69,23 +89,44 @@ def aligned(expected: DataFrame, observed: DataFrame, key: str, order: str, valu
 
 
 def play_order(measures: list[dict]) -> list[int]:
-    """Measure places in the order they are played: one jump (da capo, dal segno), then fine or to-coda count. The last segno and coda are used."""
-    segno = max((k for k, m in enumerate(measures) if m.get("segno")), default=0)
-    coda = max((k for k, m in enumerate(measures) if m.get("coda")), default=None)
-    out, k, jumped = [], 0, False
+    """Measure places in the order they are played. The first bar that holds a dal segno (if there is a segno) or a da capo jumps
+    back, once, the former rather than the latter; only after that to-coda (if there is a coda) leads on, and a fine of a bar
+    without it ends. The last segno and coda count; 10,000 bars at most."""
+    last = {name: k for k, m in enumerate(measures) for name in ("segno", "coda") if m.get(name)}
+
+    def back(m: dict) -> int | None:
+        return last["segno"] if m.get("dalsegno") and "segno" in last else 0 if m.get("dacapo") else None
+
+    turn = next((k for k, m in enumerate(measures) if back(m) is not None), None)
+    if turn is None:
+        return list(range(len(measures)))[:10_000]
+    out, k = list(range(turn + 1)), back(measures[turn])
     while k < len(measures) and len(out) < 10_000:
-        m = measures[k]
         out.append(k)
-        if jumped and m.get("fine"):
+        if measures[k].get("tocoda") and "coda" in last:
+            k = last["coda"]
+        elif measures[k].get("fine"):
             break
-        if jumped and m.get("tocoda") and coda is not None:
-            k = coda
-            continue
-        if not jumped and (m.get("dacapo") or m.get("dalsegno")):
-            jumped, k = True, 0 if m.get("dacapo") else segno
-            continue
-        k += 1
-    return out
+        else:
+            k += 1
+    return out[:10_000]
+
+
+def played(onsets: DataFrame, flags: DataFrame) -> DataFrame:
+    """The rows of `onsets` in play order: play_pos counts the bars played, and a bar played twice comes twice.
+
+    flags: score_id, measure_idx, flags (array of jump names); one row per bar, the bars of one score in one task. Null flags are
+    none; a score without rows in `flags` has no play order and no rows; onsets of bars that aren't in `flags` go."""
+    kind = flags.schema["score_id"].dataType.simpleString()
+
+    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+        bars = pdf.sort_values("measure_idx")
+        places = bars["measure_idx"].to_list()
+        order = play_order([dict.fromkeys(f, True) if f is not None else {} for f in bars["flags"]])
+        return pd.DataFrame({"score_id": pdf["score_id"].iloc[0], "play_pos": range(len(order)), "measure_idx": [places[k] for k in order]})
+
+    places = flags.groupBy("score_id").applyInPandas(ordered, f"score_id {kind}, play_pos long, measure_idx long")
+    return onsets.join(places, ["score_id", "measure_idx"])
 
 
 def chords(notes: DataFrame) -> DataFrame:

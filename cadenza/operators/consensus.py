@@ -28,6 +28,17 @@ def medoid(pairs_of: DataFrame, sets: DataFrame, key: str, reading: str) -> Data
     return scored.groupBy(key).agg(F.min_by(reading, F.struct((-F.col("score")).alias("s"), F.col(reading).alias("r"))).alias("medoid"), F.max("score").alias("score"))
 
 
+def medoid_of_sets(sets: DataFrame, key: str, reading: str, elements: str) -> DataFrame:
+    """The same as medoid() over pairs(), but equal sets of a key are one class that counts for its members: pairs grow with a key's
+    different sets, not with its readings. elements: sorted arrays without repeats, so that equal sets are equal arrays."""
+    classes = sets.groupBy(key, F.col(elements).alias("own")).agg(F.count("*").alias("n"), F.min(reading).alias("least"))
+    x, y = classes.alias("x"), classes.alias("y")
+    met = x.join(y, F.col(f"x.{key}") == F.col(f"y.{key}"))
+    shared = F.col("y.n") - (F.col("x.own") == F.col("y.own")).cast("long")  # a reading doesn't vote for itself
+    scored = met.groupBy(F.col(f"x.{key}").alias(key), F.col("x.least").alias("least")).agg(F.round(F.sum(shared * jaccard(F.col("x.own"), F.col("y.own"))), 9).alias("score"))
+    return scored.groupBy(key).agg(F.min_by("least", F.struct((-F.col("score")).alias("s"), F.col("least").alias("r"))).alias("medoid"), F.max("score").alias("score"))
+
+
 def mode(df: DataFrame, keys: Sequence[str], value: str, least: int = 1) -> DataFrame:
     """The most frequent value with at least `least` votes; the least value of equals."""
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("votes")).where(F.col("votes") >= least)

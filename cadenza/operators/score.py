@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
 
+from .align import played
 from .consensus import jaccard
 from .rhythm import SLACK, state_at_bars, status, timed
 
@@ -33,6 +34,20 @@ def onsets(elements: DataFrame) -> DataFrame:
     return notes(elements).groupBy("score_id", "measure_idx", "quarter").agg(F.array_sort(F.collect_set("midi")).alias("notes"))
 
 
+def bar_flags(elements: DataFrame) -> DataFrame:
+    """(score, measure) with the jump names of all parts, sorted, for align.played(); bars without one have an empty list."""
+    return elements.groupBy("score_id", "measure_idx").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("flags", F.array().cast("array<string>")))))).alias("flags"))
+
+
+def play_chords(elements: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(score, play_pos, measure, quarter, notes): chords as they are played, jumps followed, of the bars numbered low to high.
+
+    Jumps follow the whole score; the range only picks bars of it, by the number the first part writes."""
+    numbers = elements.groupBy("score_id", "measure_idx").agg(F.min_by("measure_no", "part_id").alias("measure_no"))
+    own = played(onsets(elements).join(numbers, ["score_id", "measure_idx"]), bar_flags(elements))
+    return own if low is None or high is None else in_range(own, low, high)
+
+
 def in_range(elements: DataFrame, low: int, high: int) -> DataFrame:
     """Bars by written number; a number that isn't whole counts as -1."""
     return elements.where(F.coalesce(F.expr("try_cast(measure_no as int)"), F.lit(-1)).between(low, high))

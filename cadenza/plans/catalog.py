@@ -215,8 +215,8 @@ t AS (SELECT e.o_custkey, e.o_orderkey, round(coalesce(sum(jac), 0), 9) AS score
 SELECT o_custkey, arg_min(o_orderkey, (-score, o_orderkey)) AS medoid, round(max(score), 6) AS score FROM t GROUP BY 1
 """)
 def q17_medoid_vote(spark, d):
-    sets = _sets(spark, d)
-    return consensus.medoid(consensus.pairs(sets, "o_custkey", "o_orderkey", "s"), sets, "o_custkey", "o_orderkey").select("o_custkey", "medoid", F.round("score", 6).alias("score"))
+    sets = _sets(spark, d).withColumn("s", F.array_sort("s"))
+    return consensus.medoid_of_sets(sets, "o_custkey", "o_orderkey", "s").select("o_custkey", "medoid", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -285,7 +285,7 @@ SELECT s_suppkey, name, nat AS natural_key, row_number() OVER (ORDER BY nat, s_s
 def q24_natural_sort(spark, d):
     name = F.concat(F.lit("No "), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, "B").otherwise("a"), F.col("s_nationkey"))
     own = load(spark, d, "supplier", "s_suppkey", "s_nationkey").select("s_suppkey", name.alias("name")).withColumn("natural_key", islands.natural_key(F.col("name")))
-    return own.select("s_suppkey", "name", "natural_key", F.row_number().over(Window.orderBy("natural_key", "s_suppkey")).cast("long").alias("place"))
+    return islands.numbered(own, ["natural_key", "s_suppkey"], "place").select("s_suppkey", "name", "natural_key", "place")
 
 
 @query("""
@@ -344,7 +344,8 @@ SELECT l_orderkey, m AS divisions, array_to_string(list_transform(s, lambda x: m
 """)
 def q30_normalised_lcm(spark, d):
     sets = load(spark, d, "lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("s"))
-    own = sets.withColumn("divisions", S.least_common_multiple(F.col("s")))
+    # few sets differ, so each is folded once
+    own = sets.join(sets.select("s").distinct().withColumn("divisions", S.least_common_multiple(F.col("s"))), "s")
     return own.select("l_orderkey", "divisions", F.array_join(F.transform("s", lambda x: F.floor(F.col("divisions") / x)), ",").alias("factors"))
 
 
@@ -375,8 +376,9 @@ SELECT sign, note, gap FROM (SELECT *, row_number() OVER (PARTITION BY note ORDE
 def q34_exclusive_nearest(spark, d):
     ev = load(spark, d, "events", "event_id", "user_id", "ts", "event_type", "value").withColumn("day", F.dayofmonth("ts")).withColumn("c", F.round(F.col("value") * 100).cast("long"))
     signs = ev.where("event_type = 'error'").select("user_id", "day", F.col("event_id").alias("sign"), F.col("c").alias("x"))
-    notes = ev.where("event_type = 'view'").select("user_id", "day", F.col("event_id").alias("note"), F.col("c").alias("y"))
-    return joins.exclusive(signs.join(notes, ["user_id", "day"]).select("sign", "note", F.abs(F.col("y") - F.col("x")).alias("gap")), "sign", "note", "gap")
+    notes = ev.where("event_type = 'view'").select("user_id", "day", F.struct(F.col("event_id").alias("note"), F.col("c").alias("y")).alias("near"), F.col("c").alias("y"))
+    found = joins.nearest(signs, notes, ["user_id", "day"], "x", "y", "near", "of").where("of is not null")
+    return joins.exclusive(found.select("sign", F.col("of.note").alias("note"), F.abs(F.col("of.y") - F.col("x")).alias("gap")), "sign", "note", "gap")
 
 
 @query("""

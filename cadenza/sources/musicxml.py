@@ -17,9 +17,10 @@ _KINDS = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.Boolean
 _FIELDS = (
     "score_id string, part_id string, measure_idx int, measure_no string, implicit boolean, elem_idx int, tag string, staff string, voice string, duration int, "
     "is_chord boolean, is_grace boolean, is_rest boolean, step string, alter double, octave int, tie_start boolean, tie_stop boolean, note_type string, dots int, "
-    "divisions int, beats int, beat_type int, fifths int, clef_staff string, clef_sign string, clef_line int, flag string, slur_start array<string>, slur_stop array<string>, "
+    "divisions int, beats int, beat_type int, fifths int, clef_staff string, clef_sign string, clef_line int, flags array<string>, slur_start array<string>, slur_stop array<string>, "
     "tuplet_start boolean, tuplet_stop boolean, actual_notes int, normal_notes int, beam string, stem string, accidental string, bar_style string"
 )
+JUMPS = ("segno", "coda", "tocoda", "dalsegno", "dacapo", "fine")
 ELEMENTS = T.StructType([T.StructField(f.split()[0], _KINDS[f.split()[1]]) for f in _FIELDS.split(", ")])
 
 
@@ -39,14 +40,9 @@ def _number(e: ET.Element | None, name: str, kind=int):
         return None
 
 
-def _flag(e: ET.Element) -> str | None:
-    for name in ("segno", "coda"):
-        if e.find(f".//{name}") is not None:
-            return name
-    sound = e if e.tag == "sound" else e.find("sound")
-    if sound is not None:
-        return next((k for k in ("tocoda", "dalsegno", "dacapo", "fine") if k in sound.attrib), None)
-    return None
+def _flags(e: ET.Element) -> list[str]:
+    """The jump names that the sounds of a direction carry, whatever their values."""
+    return sorted({k for sound in e.iter("sound") for k in sound.attrib if k in JUMPS}) if e.tag == "direction" else []
 
 
 def elements(score_id: str, data: bytes) -> Iterator[dict]:
@@ -62,7 +58,7 @@ def elements(score_id: str, data: bytes) -> Iterator[dict]:
         for k, measure in enumerate(part.findall("measure")):
             bar = {"score_id": score_id, "part_id": part.get("id", ""), "measure_idx": k, "measure_no": measure.get("number", ""), "implicit": measure.get("implicit") == "yes"}
             for place, e in enumerate(measure):
-                row = empty | bar | {"elem_idx": place, "tag": e.tag, "is_chord": False, "is_grace": False, "is_rest": False, "flag": _flag(e)}
+                row = empty | bar | {"elem_idx": place, "tag": e.tag, "is_chord": False, "is_grace": False, "is_rest": False, "flags": _flags(e)}
                 if e.tag == "note":
                     pitch, slurs = e.find("pitch"), e.findall("notations/slur")
                     ties, tuplets = {t.get("type") for t in e.findall("tie")}, {t.get("type") for t in e.findall("notations/tuplet")}

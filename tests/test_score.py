@@ -42,6 +42,20 @@ def test_timeline(read):
     assert heard == {0.0: [48, 60, 64], 2.0: [65], 3.0: [50]}
 
 
+def test_play_chords(read):
+    """Jumps from the sounds of a direction (any of them, several in one), chords of all parts, and a range that picks bars only."""
+
+    def sound(**flags):
+        return "<direction><sound " + " ".join(f'{k}="x"' for k in flags) + "/></direction>"
+
+    bars = [sound(segno=1, dynamics=1) + note("C", d=4), note("D", d=4) + sound(tocoda=1, fine=1), note("E", d=2) + note("G", d=2) + sound(dalsegno=1), sound(coda=1) + note("F", d=4)]
+    df = read(a=document(bars))
+    assert [(r.measure_idx, r.flags) for r in score.bar_flags(df).orderBy("measure_idx").collect()] == [(0, ["segno"]), (1, ["fine", "tocoda"]), (2, ["dalsegno"]), (3, ["coda"])]
+    got = [(r.play_pos, r.measure_no, r.quarter, r.notes) for r in score.play_chords(df).orderBy("play_pos", "quarter").collect()]
+    assert got == [(0, "1", 0.0, [60]), (1, "2", 0.0, [62]), (2, "3", 0.0, [64]), (2, "3", 2.0, [67]), (3, "1", 0.0, [60]), (4, "2", 0.0, [62]), (5, "4", 0.0, [65])]
+    assert [r.play_pos for r in score.play_chords(df, 2, 2).orderBy("play_pos").collect()] == [1, 4]
+
+
 def test_zip_and_unreadable_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.mxl", "w") as z:
         z.writestr("META-INF/container.xml", "<container/>")
