@@ -22,10 +22,12 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import texts
+from .shared import lean, texts
 
 #: Entries of the two generations of a worker's cache together.
 CACHE = 500_000
+#: Rows that are coded at a time.
+FEW = 500
 WORD = 256
 BIT = [1 << k for k in range(1024)]  # words of up to 262,144 ranks
 
@@ -177,7 +179,8 @@ def encode_column(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id"
 
     def coded(batches):
         own = codec(ranks, pattern)
-        for batch in batches:
+        # a few rows at a time, as ids are lists of numbers until they are an Arrow column
+        for batch in (whole.slice(k, FEW) for whole in batches for k in range(0, whole.num_rows, FEW)):
             count, said, back, kept = [], [], [], []
             for t in texts(batch.column(1)):
                 parts = own.encode_parts(t)
@@ -193,4 +196,4 @@ def encode_column(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id"
                 columns, names = columns + [pa.array(kept, pa.list_(pa.int32()))], names + ["ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(key, text).mapInArrow(coded, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return docs.select(key, text).mapInArrow(lean(coded), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
