@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SKIP = 0.5
 
@@ -127,8 +126,3 @@ def played(onsets: DataFrame, flags: DataFrame) -> DataFrame:
 
     places = flags.groupBy("score_id").applyInPandas(ordered, f"score_id {kind}, play_pos long, measure_idx long")
     return onsets.join(places, ["score_id", "measure_idx"])
-
-
-def chords(notes: DataFrame) -> DataFrame:
-    """(score, play_pos, measure, beat) with the sorted distinct pitches that begin there. notes: play_pos, measure_no, onset (quarters), midi."""
-    return notes.groupBy("score_id", "play_pos", "measure_no", "onset").agg(F.array_sort(F.collect_set("midi")).alias("notes"))
