@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from cadenza.plans import catalog
+from cadenza.plans import catalog, pieces  # noqa: F401: pieces adds its queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 
