@@ -15,10 +15,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import unicodedata
+from collections.abc import Sequence
 from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,6 +30,8 @@ from .shared import texts
 CACHE = 500_000
 #: Rows that are coded at a time.
 FEW = 500
+#: Ids that are decoded at a time.
+DECODED = 1 << 18
 WORD = 256
 BIT = [1 << k for k in range(1024)]  # words of up to 262,144 ranks
 
@@ -124,44 +128,68 @@ def splitter(pattern: str):
     return split
 
 
+class _Pieces(dict):
+    """Coded pre-tokens; looking up one that is not there codes it."""
+
+    __slots__ = ("code",)
+
+    def __missing__(self, part: str) -> tuple[str, bytes]:
+        return self.code(part)
+
+
 class Codec:
-    """Encodes and decodes with one rank file; the pattern is that of the rank files' library."""
+    """Encodes and decodes with one rank file; the pattern is that of the rank files' library. A pre-token's ids are kept as decimal
+    text and as 32-bit numbers, so that a text's are joined without a Python number for each."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.split = splitter(pattern)
-        self.young: dict[str, tuple[str, list[int]]] = {}
-        self.old: dict[str, tuple[str, list[int]]] = {}
-
-    def piece(self, part: str) -> tuple[str, list[int]]:
-        found = self.young.get(part)
+        # the bytes of all ids one after another, where each begins and how long it is
+        known = sorted((v, k) for k, v in self.ranks.items())
+        self.vocabulary = np.frombuffer(b"".join(k for _, k in known), np.uint8)
+        self.size = np.full(known[-1][0] + 1, -1, np.int32)
+        self.size[[v for v, _ in known]] = [len(k) for _, k in known]
+        self.begin = (np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)).astype(np.int32)
+        self.old: dict[str, tuple[str, bytes]] = {}
+        self.renew()
+
+    def renew(self) -> None:
+        self.young = _Pieces()
+        self.young.code = self.piece
+
+    def piece(self, part: str) -> tuple[str, bytes]:
+        # a list of lookups may outlive its generation, so the present one is asked again
+        found = self.young.get(part) or self.old.get(part)
         if found is None:
-            found = self.old.get(part)
-            if found is None:
-                ids = encode_piece(part.encode(), self.ranks)
-                found = (",".join(map(str, ids)), ids)
-            if len(part) <= 200:
-                if len(self.young) >= CACHE // 2:
-                    self.old, self.young = self.young, {}
-                self.young[part] = found
+            ids = encode_piece(part.encode(), self.ranks)
+            found = (",".join(map(str, ids)), struct.pack(f"<{len(ids)}i", *ids))
+        if len(part) <= 200:
+            if len(self.young) >= CACHE // 2:
+                self.old = self.young
+                self.renew()
+            self.young[part] = found
         return found
 
-    def encode_parts(self, text: str) -> list[tuple[str, list[int]]]:
-        """For each pre-token its ids, also written as text."""
-        piece, own = self.piece, self.split(text)
-        parts = list(map(self.young.get, own))
-        if None in parts:
-            for k, found in enumerate(parts):
-                if found is None:
-                    parts[k] = piece(own[k])
-        return parts
+    def encode_parts(self, text: str) -> list[tuple[str, bytes]]:
+        """For each pre-token its ids, as text and as numbers."""
+        return list(map(self.young.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for _, ids in self.encode_parts(text)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return np.frombuffer(b"".join([x[1] for x in self.encode_parts(text)]), "<i4").tolist()
+
+    def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
+        ids = np.asarray(ids, np.int32)
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.size) and int(self.size[ids].min()) > 0):
+            raise ValueError("an id stands for no bytes")
+        out = []
+        for low in range(0, len(ids), DECODED):
+            own = ids[low : low + DECODED]
+            size = self.size[own]
+            end = np.cumsum(size)
+            at = np.repeat(self.begin[own] - (end - size), size)
+            at += np.arange(len(at))
+            out.append(self.vocabulary[at].tobytes())
+        return b"".join(out)
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -179,21 +207,23 @@ def encode_column(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id"
 
     def coded(batches):
         own = codec(ranks, pattern)
-        # a few rows at a time, as ids are lists of numbers until they are an Arrow column
+        # a few rows at a time, as their ids are held until they are an Arrow column
         for batch in (whole.slice(k, FEW) for whole in batches for k in range(0, whole.num_rows, FEW)):
             count, said, back, kept = [], [], [], []
             for t in texts(batch.column(1)):
                 parts = own.encode_parts(t)
-                ids = list(chain.from_iterable([x[1] for x in parts]))
-                count.append(len(ids))
+                packed = b"".join([x[1] for x in parts])
+                count.append(len(packed) // 4)
                 said.append(hashlib.sha256(",".join([x[0] for x in parts]).encode()).hexdigest())
-                back.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                back.append(hashlib.sha256(own.decode(np.frombuffer(packed, "<i4"))).hexdigest())
                 if keep_ids:
-                    kept.append(ids)
+                    kept.append(packed)
             columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns, names = columns + [pa.array(kept, pa.list_(pa.int32()))], names + ["ids"]
+                ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(key, text).mapInArrow(coded, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
