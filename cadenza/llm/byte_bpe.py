@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from .shared import texts
 
 #: Entries of the two generations of a worker's cache together.
-CACHE = 500_000
+CACHE = 800_000
 #: Rows that are coded at a time.
 FEW = 500
 #: Ids that are decoded at a time.
 DECODED = 1 << 18
 WORD = 256
-BIT = [1 << k for k in range(1024)]  # words of up to 262,144 ranks
+BIT = [1 << k for k in range(4096)]  # words of up to 1,048,576 ranks
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,66 +41,80 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
+def encode_piece(piece: bytes, ranks: dict[bytes, int], low: list[int]) -> list[int]:
+    """The ids of one pre-token. low: the lower words of the bitmap, one for each WORD ranks, all zero; they are so again at the end."""
     get = ranks.get
     if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
     after, before = list(range(1, n + 2)), list(range(-1, n))
-    # the queue: a heap of places for each rank, a bitmap of ranks for each word of WORD ranks, a bitmap of words
-    bucket: dict[int, list[int]] = {}
-    low: dict[int, int] = {}
+    # the queue: for each rank its place, or a heap of places; bitmaps of ranks by word; a bitmap of words
+    bucket: dict[int, int | list[int]] = {}
+    held, bit_of = bucket.get, BIT
     top = 0
     # by place, the rank of the pair that begins there; None: no such merge, or the place is gone
-    now = [get(piece[k : k + 2]) for k in range(n - 1)] + [None, None]
+    now = [get(piece[k : k + 2]) for k in range(n - 1)]
     for k, r in enumerate(now):
         if r is not None:
-            if r in bucket:
-                bucket[r].append(k)
+            if (own := held(r)) is None:
+                bucket[r] = k
+                w = r >> 8
+                low[w] |= bit_of[r & 255]
+                top |= bit_of[w]
+            elif own.__class__ is int:
+                bucket[r] = [own, k]
             else:
-                bucket[r] = [k]
-                w = r // WORD
-                low[w] = low.get(w, 0) | BIT[r % WORD]
-                top |= BIT[w]
+                own.append(k)
+    now += (None, None)
     while top:
         w = (top & -top).bit_length() - 1
         bits = low[w]
         bit = bits & -bits
-        rank = w * WORD + bit.bit_length() - 1
-        own = bucket[rank]
-        if len(own) > 1:
+        rank = (w << 8) + bit.bit_length() - 1
+        k = bucket[rank]
+        if k.__class__ is not int:
+            own = k
             k = heappop(own)
+            if len(own) == 1:
+                bucket[rank] = own[0]
         else:
-            k = own[0]
             del bucket[rank]
-            low[w] = bits ^ bit
-            if bits == bit:
-                top ^= BIT[w]
+            low[w] = bits = bits ^ bit
+            if not bits:
+                top ^= bit_of[w]
         if now[k] != rank:
             continue  # stale
         gone = after[k]
         now[gone] = None
         nxt = after[k] = after[gone]
         before[nxt] = k
-        pairs = ((k, get(piece[k : after[nxt]]) if nxt < n else None),)
+        r = now[k] = get(piece[k : after[nxt]]) if nxt < n else None
+        if r is not None:
+            if (own := held(r)) is None:
+                bucket[r] = k
+                w = r >> 8
+                low[w] |= bit_of[r & 255]
+                top |= bit_of[w]
+            elif own.__class__ is int:
+                bucket[r] = [own, k] if own < k else [k, own]
+            else:
+                heappush(own, k)
         if k:
             b = before[k]
-            pairs += ((b, get(piece[b:nxt])),)
-        for at, r in pairs:
-            now[at] = r
+            r = now[b] = get(piece[b:nxt])
             if r is not None:
-                if r in bucket:
-                    heappush(bucket[r], at)
+                if (own := held(r)) is None:
+                    bucket[r] = b
+                    w = r >> 8
+                    low[w] |= bit_of[r & 255]
+                    top |= bit_of[w]
+                elif own.__class__ is int:
+                    bucket[r] = [own, b] if own < b else [b, own]
                 else:
-                    bucket[r] = [at]
-                    w = r // WORD
-                    low[w] = low.get(w, 0) | BIT[r % WORD]
-                    top |= BIT[w]
+                    heappush(own, b)
     out, k = [], 0
     while k < n:
-        out.append(ranks[piece[k : after[k]]])
-        k = after[k]
+        out.append(ranks[piece[k : (k := after[k])]])
     return out
 
 
@@ -133,13 +147,13 @@ class _Pieces(dict):
 
     __slots__ = ("code",)
 
-    def __missing__(self, part: str) -> tuple[str, bytes]:
+    def __missing__(self, part: str) -> bytes:
         return self.code(part)
 
 
 class Codec:
-    """Encodes and decodes with one rank file; the pattern is that of the rank files' library. A pre-token's ids are kept as decimal
-    text and as 32-bit numbers, so that a text's are joined without a Python number for each."""
+    """Encodes and decodes with one rank file; the pattern is that of the rank files' library. A pre-token's ids are kept as bytes of
+    32-bit numbers, so that a text's are joined without a Python number for each."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
@@ -150,19 +164,21 @@ class Codec:
         self.size = np.full(known[-1][0] + 1, -1, np.int32)
         self.size[[v for v, _ in known]] = [len(k) for _, k in known]
         self.begin = (np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)).astype(np.int32)
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.low = [0] * (known[-1][0] // WORD + 1)
+        self.name = list(map(str, range(len(self.size))))
+        self.old: dict[str, bytes] = {}
         self.renew()
 
     def renew(self) -> None:
         self.young = _Pieces()
         self.young.code = self.piece
 
-    def piece(self, part: str) -> tuple[str, bytes]:
+    def piece(self, part: str) -> bytes:
         # a list of lookups may outlive its generation, so the present one is asked again
         found = self.young.get(part) or self.old.get(part)
         if found is None:
-            ids = encode_piece(part.encode(), self.ranks)
-            found = (",".join(map(str, ids)), struct.pack(f"<{len(ids)}i", *ids))
+            ids = encode_piece(part.encode(), self.ranks, self.low)
+            found = struct.pack(f"<{len(ids)}i", *ids)
         if len(part) <= 200:
             if len(self.young) >= CACHE // 2:
                 self.old = self.young
@@ -170,12 +186,14 @@ class Codec:
             self.young[part] = found
         return found
 
-    def encode_parts(self, text: str) -> list[tuple[str, bytes]]:
-        """For each pre-token its ids, as text and as numbers."""
-        return list(map(self.young.__getitem__, self.split(text)))
+    def packed(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.young.__getitem__, self.split(text))), "<i4")
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([x[1] for x in self.encode_parts(text)]), "<i4").tolist()
+        return self.packed(text).tolist()
+
+    def decimal(self, ids: np.ndarray) -> str:
+        return ",".join(map(self.name.__getitem__, ids.tolist()))
 
     def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int32)
@@ -211,18 +229,17 @@ def encode_column(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id"
         for batch in (whole.slice(k, FEW) for whole in batches for k in range(0, whole.num_rows, FEW)):
             count, said, back, kept = [], [], [], []
             for t in texts(batch.column(1)):
-                parts = own.encode_parts(t)
-                packed = b"".join([x[1] for x in parts])
-                count.append(len(packed) // 4)
-                said.append(hashlib.sha256(",".join([x[0] for x in parts]).encode()).hexdigest())
-                back.append(hashlib.sha256(own.decode(np.frombuffer(packed, "<i4"))).hexdigest())
+                ids = own.packed(t)
+                count.append(len(ids))
+                said.append(hashlib.sha256(own.decimal(ids).encode()).hexdigest())
+                back.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 if keep_ids:
-                    kept.append(packed)
+                    kept.append(ids)
             columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
                 ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(kept))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
