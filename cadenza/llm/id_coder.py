@@ -2,15 +2,15 @@
 
 A file is a Parquet file of segment rows. A segment holds whole documents in ascending key order: their keys and token counts,
 and the ids (two bytes each, uncoded) in blocks of BLOCK ids. Each block starts from fresh models, and has its own byte range
-and a CRC-32 of its bytes and one of its ids, so that a block is read, checked and retried by itself.
+and a CRC-32 of its bytes and one of its ids, so that a block is read, checked and retried by itself, with the segment's counts.
 
-A block's ids are predicted by the ids that followed the last two ids (order 2) and the last one (order 1) before. The
-likelier of both is the prediction; whether it is right is coded with a probability that mixes what both orders' counts have
-meant so far, with weights that move to the better one. Ids that were not predicted are coded by four 16-way choices whose
-distributions adapt to the ids of the block (order 0). A carry-less range coder of 48 bits writes 16-bit words. All arithmetic
-is on integers, so any machine decodes what another has written.
+A block's ids are predicted by the ids that followed the last two ids (order 2) and the last one (order 1) before, and by the
+segment's most frequent id where neither was seen (order 0). The likelier one is the prediction; whether it is right is coded
+with a probability that mixes what both orders' counts have meant so far, with weights that move to the better one. Ids that
+were not predicted are coded by their share of the segment's ids (order 0), whose counts stand before the blocks. A carry-less
+range coder of 64 bits writes 32-bit words. All arithmetic is on integers, so any machine decodes what another has written.
 
-All blocks of a segment are coded in lock-step: a lane is a block, a step is an id.
+All blocks of a segment are coded in lock-step: a lane is a block, a step is an id, and both orders go through one array.
 
 Cases: a null or empty text is the end id alone; special strings become their ids, as the library does it by default; repeated
 keys stand next to each other; null keys come first; texts of any length stay whole (a longer one makes a longer segment); an
@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,193 +32,225 @@ from pyspark.sql import types as T
 
 from .shared import texts, written
 
-BLOCK, SEGMENT = 4096, 1 << 22
-SLOTS = 4096
-ONE = 1 << 15  # the total of all probabilities
+BLOCK, SEGMENT = 2048, 1 << 23
+SLOT_BITS = 9
+SLOTS = 1 << SLOT_BITS
+ONE, EDGE = 1 << 15, 48  # the total of a flag's probabilities, and the least one
+SHARES = 18  # bits of the total of all shares of ids
+WORD = np.uint64(32)
 MASK = np.uint64((1 << 32) - 1)
-FULL = np.uint64((1 << 48) - 1)
-START = (np.arange(16) * (ONE // 16)).astype(np.int32)
-#: What the distribution moves to after each choice: every choice keeps a share.
-GOAL = np.where(np.arange(16)[None, :] <= np.arange(16)[:, None], np.arange(16)[None, :], ONE - 16 + np.arange(16)[None, :]).astype(np.int16)
-NODES = (0, 1, 17, 273)
+#: What a count becomes, by itself, if its id was wrong (0 to 7) or right (8 to 15); a wrong id that was right once at most is replaced.
+STEP = np.array([0, 0, *((k >> 1) - k for k in range(2, 8)), *(1,) * 7, 0], np.int32)
+
+
+class Shares:
+    """Order 0: each id's share of a segment, of 2 ** SHARES in all; without counts all ids below 65536 have the same."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray):
+        self.ids, self.share = ids, share
+        self.size, self.begin = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.size[ids] = share
+        self.begin[ids] = np.cumsum(share) - share
+        self.owner = np.repeat(ids.astype(np.uint16), share)
+        self.top = int(ids[np.argmax(share)])
+
+    @classmethod
+    def counted(cls, stream: np.ndarray) -> Shares:
+        count = np.bincount(stream, minlength=1)
+        ids = np.flatnonzero(count)
+        count = count[ids]
+        share = 1 + count * ((1 << SHARES) - len(ids)) // max(1, int(count.sum()))
+        share[np.argmax(share)] += (1 << SHARES) - int(share.sum())
+        return cls(ids, share)
+
+    @classmethod
+    def equal(cls) -> Shares:
+        return cls(np.arange(1 << 16), np.full(1 << 16, 1 << SHARES - 16))
+
+    def stored(self) -> bytes:
+        return zlib.compress(np.diff(self.ids, prepend=0).astype("<u2").tobytes() + self.share.astype("<u4").tobytes(), 3)
+
+    @classmethod
+    def restored(cls, data: bytes) -> Shares:
+        data = zlib.decompress(data)
+        n = len(data) // 6
+        return cls(np.cumsum(np.frombuffer(data, "<u2", n), dtype=np.int64), np.frombuffer(data, "<u4", n, 2 * n).astype(np.int64))
 
 
 class Models:
-    """The models of n blocks, side by side."""
-
-    def __init__(self, n: int):
-        self.lane = np.arange(n) * SLOTS
-        self.id2, self.id1 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.n2, self.n1 = np.zeros(n * SLOTS, np.int8), np.zeros(n * SLOTS, np.int8)
-        self.p2, self.p1 = np.full(n * 8, ONE // 2, np.int32), np.full(n * 16, ONE // 2, np.int32)
-        self.p2[::8] = ONE // 16
+    """The models of n blocks, side by side; order 1 in the first row, order 2 in the second."""
+
+    def __init__(self, n: int, top: int):
+        self.lane = np.arange(2 * n).reshape(2, n) * SLOTS
+        self.table = np.full(2 * n * SLOTS, top << 3, np.int32)  # an id and its count of 3 bits
+        self.seen = np.arange(2 * n).reshape(2, n) * 16
+        self.chance = np.full(2 * n * 16, ONE // 2, np.int32)
+        self.chance[::16] = self.chance[8::16] = ONE // 16
         self.weight = np.full(n, 128, np.int32)
-        self.choice = np.tile(START.astype(np.int16), (n * 4369, 1))
-        self.root = np.arange(n) * 4369
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.hashed = np.zeros((2, n), np.uint16)
+        self.last = np.zeros(n, np.uint16)
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id of the first k lanes and its probability."""
-        last = self.last[:k]
-        self.at1 = self.lane[:k] + (((last * 0x9E37) & 0xFFFF) >> 4)
-        self.at2 = self.lane[:k] + (((self.before[:k] * 0x85EB + last * 0x9E37) & 0xFFFF) >> 4)
-        self.c2, self.k2, self.c1, self.k1 = self.id2[self.at2], self.n2[self.at2], self.id1[self.at1], self.n1[self.at1]
-        guess = np.where(self.k2 > 0, self.c2, self.c1)
-        self.s2 = np.arange(k) * 8 + self.k2
-        self.s1 = np.arange(k) * 16 + self.k1 + ((self.c1 == guess) << 3)
-        self.q2, self.q1 = self.p2[self.s2], self.p1[self.s1]
-        p = (self.q2 * self.weight[:k] + self.q1 * (256 - self.weight[:k])) >> 8
-        return guess, np.minimum(np.maximum(p, 48), ONE - 48)
+        self.at = at = self.lane[:, :k] + (self.hashed[:, :k] >> 16 - SLOT_BITS)
+        self.found = found = self.table.take(at)
+        self.ids = ids = found >> 3
+        self.count = count = found & 7
+        guess = ids[0].copy()
+        np.copyto(guess, ids[1], where=count[1] > 0)
+        s = (ids == guess).astype(np.int32)
+        s <<= 3
+        s += count
+        self.s = s = s + self.seen[:, :k]
+        self.q = q = self.chance.take(s)
+        p = q[1] - q[0]
+        p *= self.weight[:k]
+        p >>= 8
+        p += q[0]
+        return guess, p
 
     def learn(self, k: int, hit: np.ndarray, actual: np.ndarray) -> None:
-        goal = hit.astype(np.int32) << 15
-        d2, d1 = goal - self.q2, goal - self.q1
-        self.p2[self.s2] = self.q2 + (d2 >> 4)
-        self.p1[self.s1] = self.q1 + (d1 >> 4)
-        w = self.weight[:k] + np.where(np.abs(d2) < np.abs(d1), 2, -2)
-        self.weight[:k] = np.minimum(np.maximum(w, 16), 240)
-        for at, c, n, ids, counts in ((self.at2, self.c2, self.k2, self.id2, self.n2), (self.at1, self.c1, self.k1, self.id1, self.n1)):
-            right = c == actual
-            ids[at] = np.where(right | (n > 1), c, actual)
-            counts[at] = np.where(right, np.minimum(n + 1, 7), np.maximum(n >> 1, 1))
-        self.before[:k] = self.last[:k]
-        self.last[:k] = actual
-
-
-def _split(choice: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a symbol's share begins and how large it is."""
-    at = np.arange(len(symbol))
-    low = choice[at, symbol].astype(np.uint64)
-    high = choice[at, np.minimum(symbol + 1, 15)].astype(np.uint64)
-    high[symbol == 15] = ONE
-    return low, high - low
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+        q = self.q
+        w = self.weight[:k]
+        to = (q[1] > q[0]) == hit
+        to = to.astype(np.int32)
+        to <<= 8
+        to -= w
+        to >>= 5
+        w += to
+        d = hit * np.int32(ONE - 2 * EDGE)
+        d += EDGE
+        d = d - q
+        d >>= 4
+        d += q
+        self.chance[self.s] = d
+        right = self.ids == actual
+        step = right.astype(np.int32)
+        step <<= 3
+        step += self.count
+        new = STEP.take(step)
+        new += self.found
+        fresh = actual << 3
+        fresh += 1
+        np.copyto(new, fresh, where=(step < 2))
+        self.table[self.at] = new
+        h, last = self.hashed[:, :k], self.last[:k]
+        np.multiply(last, np.uint16(0x85EB), out=h[1])
+        last[:] = actual
+        np.multiply(last, np.uint16(0x9E37), out=h[0])
+        h[1] += h[0]
+
+
+def _cut(lo: np.ndarray, sp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of less than 32 bits, cut where their first words differ and moved up by a word."""
+    differ = ((lo ^ (lo + sp - np.uint64(1))) >> WORD) != 0
+    return lo << WORD, np.where(differ, MASK + np.uint64(1) - (lo & MASK), sp) << WORD
+
+
+def _lanes(length: np.ndarray) -> list[int]:
+    """How many blocks, the longest first, have an id at each step."""
+    return np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right").tolist()
+
+
+def encode_blocks(blocks: list[np.ndarray], shares: Shares | None = None) -> list[bytes]:
     """Blocks of ids below 65536, the longest first, as independent byte strings."""
     n = len(blocks)
     if not n:
         return []
+    shares = shares or Shares.equal()
     length = np.array([len(b) for b in blocks])
-    grid = np.zeros((int(length.max()), n), np.int32)
-    for j, b in enumerate(blocks):
-        grid[: len(b), j] = b
-    active = np.searchsorted(-length, -np.arange(1, len(grid) + 1), "right")
-    m = Models(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-    words, count = np.zeros((n, 4 * len(grid) + 8), np.uint16), np.zeros(n, np.int64)
-
-    def settle(lo: np.ndarray, sp: np.ndarray, lanes: np.ndarray) -> None:
-        at = np.flatnonzero(sp <= MASK)
-        while len(at):
-            own, a, b = lanes[at], lo[at], sp[at]
-            cut = ((a ^ (a + b - np.uint64(1))) >> np.uint64(32)) != 0
-            b = np.where(cut, MASK + np.uint64(1) - (a & MASK), b) << np.uint64(16)
-            words[own, count[own]] = (a >> np.uint64(32)).astype(np.uint16)
-            count[own] += 1
-            lo[at] = (a << np.uint64(16)) & FULL
-            sp[at] = b
-            at = at[b <= MASK]
-
-    every = np.arange(n)
-    for step, k in enumerate(active.tolist()):
+    even = int((length == length[0]).sum())
+    grid = np.zeros((int(length[0]), n), np.int32)
+    grid[:, :even] = np.concatenate(blocks[:even]).reshape(even, -1).T
+    for j in range(even, n):
+        grid[: length[j], j] = blocks[j]
+    m = Models(n, shares.top)
+    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    lanes, words = [], []
+    for step, k in enumerate(_lanes(length)):
         actual = grid[step, :k]
         guess, p = m.predict(k)
         hit = guess == actual
         lo, sp = low[:k], span[:k]
-        r = sp >> np.uint64(15)
-        lo += np.where(hit, 0, p).astype(np.uint64) * r
-        sp[:] = np.where(hit, p, ONE - p).astype(np.uint64) * r
-        settle(lo, sp, every[:k])
-        if len(miss := np.flatnonzero(~hit)):
-            value, root = actual[miss], m.root[miss]
-            lo, sp = low[miss], span[miss]
-            for level in range(4):
-                row = root + NODES[level] + (value >> (16 - 4 * level))
-                symbol = (value >> (12 - 4 * level)) & 15
-                choice = m.choice.take(row, axis=0)
-                start, size = _split(choice, symbol)
-                m.choice[row] = choice + ((GOAL.take(symbol, axis=0) - choice) >> 4)
-                r = sp >> np.uint64(15)
-                lo += start * r
-                sp = size * r
-                settle(lo, sp, miss)
-            low[miss], span[miss] = lo, sp
+        bound = sp >> np.uint64(15)
+        bound *= p.astype(np.uint64)
+        part = sp - bound
+        part >>= np.uint64(SHARES)
+        begin = shares.begin.take(actual)
+        begin *= part
+        begin += bound
+        begin[hit] = 0
+        lo += begin
+        part *= shares.size.take(actual)
+        np.copyto(part, bound, where=hit)
+        sp[:] = part
+        at = np.flatnonzero(part <= MASK)
+        if len(at):
+            a = lo.take(at)
+            lanes.append(at)
+            words.append((a >> WORD).astype("<u4"))
+            lo[at], sp[at] = _cut(a, part.take(at))
         m.learn(k, hit, actual)
-    for shift in (32, 16, 0):
-        words[np.arange(n), count] = (low >> np.uint64(shift)).astype(np.uint16)
-        count += 1
-    return [words[j, :c].astype("<u2").tobytes() for j, c in enumerate(count.tolist())]
+    every = np.arange(n)
+    lane = np.concatenate([*lanes, every, every]).astype(np.uint16 if n <= 1 << 16 else np.int64)
+    word = np.concatenate([*words, (low >> WORD).astype("<u4"), (low & MASK).astype("<u4")])
+    data, end = word[np.argsort(lane, kind="stable")].tobytes(), np.cumsum(np.bincount(lane, minlength=n)) * 4
+    return [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())]
 
 
-def decode_blocks(parts: list[bytes], length: list[int]) -> list[np.ndarray]:
+def decode_blocks(parts: list[bytes], length: list[int], shares: Shares | None = None) -> list[np.ndarray]:
     """What encode_blocks() was given; length: ids of each block, the longest first."""
     n = len(parts)
     if not n:
         return []
-    size = np.array(length)
-    grid = np.zeros((int(size.max()), n), np.int32)
-    active = np.searchsorted(-size, -np.arange(1, len(grid) + 1), "right")
-    words = np.zeros((n, max(len(p) for p in parts) // 2 + 4), np.uint64)
-    for j, p in enumerate(parts):
-        words[j, : len(p) // 2] = np.frombuffer(p, "<u2")
-    m = Models(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << np.uint64(16)) | words[:, 2]
-    count = np.full(n, 3)
-
-    def settle(lo: np.ndarray, sp: np.ndarray, x: np.ndarray, lanes: np.ndarray) -> None:
-        """x: the code less lo."""
-        at = np.flatnonzero(sp <= MASK)
-        while len(at):
-            own, a, b = lanes[at], lo[at], sp[at]
-            cut = ((a ^ (a + b - np.uint64(1))) >> np.uint64(32)) != 0
-            b = np.where(cut, MASK + np.uint64(1) - (a & MASK), b) << np.uint64(16)
-            lo[at] = (a << np.uint64(16)) & FULL
-            x[at] = (x[at] << np.uint64(16)) | words[own, np.minimum(count[own], words.shape[1] - 1)]
-            count[own] += 1
-            sp[at] = b
-            at = at[b <= MASK]
-
-    every = np.arange(n)
-    for step, k in enumerate(active.tolist()):
+    shares = shares or Shares.equal()
+    grid = np.zeros((length[0], n), np.int32)
+    width = np.array([len(p) // 4 + 2 for p in parts])
+    end = np.cumsum(width)
+    place = end - width
+    words = np.zeros(int(end[-1]), np.uint64)
+    for p, at in zip(parts, place.tolist()):
+        words[at : at + len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
+    m = Models(n, shares.top)
+    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    code = (words[place] << WORD) | words[place + 1]  # less low
+    place += 2
+    end -= 1
+    for step, k in enumerate(_lanes(np.array(length))):
         guess, p = m.predict(k)
         lo, sp, x = low[:k], span[:k], code[:k]
-        r = sp >> np.uint64(15)
-        bound = p.astype(np.uint64) * r
+        bound = sp >> np.uint64(15)
+        bound *= p.astype(np.uint64)
         hit = x < bound
-        sp[:] = np.where(hit, bound, (ONE - p).astype(np.uint64) * r)
-        bound[hit] = 0
-        lo += bound
-        x -= bound
-        settle(lo, sp, x, every[:k])
-        actual = guess.astype(np.int32)
-        if len(miss := np.flatnonzero(~hit)):
-            value, root = np.zeros(len(miss), np.int32), m.root[miss]
-            lo, sp, x = low[miss], span[miss], code[miss]
-            for level in range(4):
-                row = root + NODES[level] + value
-                choice = m.choice.take(row, axis=0)
-                r = sp >> np.uint64(15)
-                place = np.minimum(x // r, np.uint64(ONE - 1)).astype(np.int16)
-                symbol = (choice <= place[:, None]).sum(axis=1, dtype=np.int32) - 1
-                start, size = _split(choice, symbol)
-                m.choice[row] = choice + ((GOAL.take(symbol, axis=0) - choice) >> 4)
-                start *= r
-                lo += start
-                x -= start
-                sp = size * r
-                settle(lo, sp, x, miss)
-                value = (value << 4) | symbol
-            low[miss], span[miss], code[miss] = lo, sp, x
-            actual[miss] = value
+        actual = guess
+        miss = np.flatnonzero(~hit)
+        cut = bound.take(miss)
+        part = sp.take(miss)
+        part -= cut
+        part >>= np.uint64(SHARES)
+        rest = x.take(miss)
+        own = shares.owner.take(((rest - cut) // part).view(np.int64), mode="clip").astype(np.int64)
+        cut += shares.begin.take(own) * part
+        part *= shares.size.take(own)
+        actual[miss] = own
+        lo[miss] += cut
+        x[miss] = rest - cut
+        bound[miss] = part
+        sp[:] = bound
+        at = np.flatnonzero(bound <= MASK)
+        if len(at):
+            to = place.take(at)
+            x[at] = (x.take(at) << WORD) | words.take(np.minimum(to, end.take(at)))
+            place[at] = to + 1
+            lo[at], sp[at] = _cut(lo.take(at), bound.take(at))
         grid[step, :k] = actual
         m.learn(k, hit, actual)
     return [grid[:c, j] for j, c in enumerate(length)]
 
 
 class Encoder:
-    """Ids of whole texts as the tokenizer file gives them. Pre-tokens of texts without special strings are looked up in a bounded cache."""
+    """Ids of whole texts as the tokenizer file gives them. Pre-tokens of texts without special strings are looked up in a bounded cache,
+    which keeps a pre-token's ids as bytes of 32-bit numbers; the library's model gives those that are not there."""
 
     CACHE = 500_000
 
@@ -239,34 +271,43 @@ class Encoder:
 
             from .byte_bpe import splitter
 
-            self.cut = splitter(public_tokenizers.PATTERN)
+            self.cut, self.model = splitter(public_tokenizers.PATTERN), self.library.model
         special = [re.escape(x["content"]) for x in said.get("added_tokens", [])]
         self.special = re.compile("|".join(special)).search if special else lambda t: None
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def whole(self, some: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch(some, add_special_tokens=False)]
+        # a byte-level model's letter for each byte: printable ones stand for themselves
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.letters = {k: k if k in shown else next(hidden) for k in range(256)}
+        self.old: dict[str, bytes] = {}
+        self._renew()
+
+    def _renew(self) -> None:
+        from .byte_bpe import _Pieces
+
+        self.young = _Pieces()
+        self.young.code = self._piece
+
+    def _piece(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            plain = part.isascii() and part.isprintable()
+            shown = part.replace(" ", "\u0120") if plain else part.encode().decode("latin-1").translate(self.letters)
+            found = array("i", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        if len(part) <= 200:
+            if len(self.young) >= self.CACHE // 2:
+                self.old = self.young
+                self._renew()
+            self.young[part] = found
+        return found
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        if self.cut is None or self.special(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.frombuffer(b"".join(map(self.young.__getitem__, self.cut(text))), np.int32)
 
     def encode(self, some: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        if self.cut is None:
-            return self.whole(some)
-        parts = [None if self.special(t) else self.cut(t) for t in some]
-        young, old = self.young, self.old
-        missing = {p for own in parts if own is not None for p in own if p not in young}
-        found = {p: old[p] for p in missing if p in old}
-        new = [p for p in missing if p not in found]
-        found |= zip(new, self.whole(new))
-        if len(young) + len(found) > self.CACHE // 2:
-            self.old, self.young = young, {}
-            lookup = {**young, **found}
-        else:
-            lookup = young
-        lookup.update(found)
-        self.young.update({p: x for p, x in found.items() if len(p) <= 200})
-        plain = iter(self.whole([t for t, own in zip(some, parts) if own is None]))
-        return [next(plain) if own is None else list(chain.from_iterable(map(lookup.__getitem__, own))) for own in parts]
+        return [self.ids(t).tolist() for t in some]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -283,17 +324,21 @@ def _segment(ids: list[np.ndarray]) -> dict:
     if len(stream) and not 0 <= int(stream.min()) <= int(stream.max()) < 1 << 16:
         raise ValueError(f"ids are coded in 16 bits; there is one from {stream.min()} to {stream.max()}")
     blocks = [stream[k : k + BLOCK] for k in range(0, len(stream), BLOCK)]
-    coded = encode_blocks(blocks)
+    shares = Shares.counted(stream)
+    coded = encode_blocks(blocks, shares)
+    stored = shares.stored()
     return {
         "n_tokens": [len(x) for x in ids],
         "block_bytes": [len(c) for c in coded],
         "block_crc": [zlib.crc32(c) for c in coded],
         "ids_crc": [zlib.crc32(b.astype("<u2").tobytes()) for b in blocks],
         "data": b"".join(coded),
+        "shares": stored,
+        "shares_crc": zlib.crc32(stored),
     }
 
 
-FIELDS = ["n_tokens array<long>", "block_bytes array<long>", "block_crc array<long>", "ids_crc array<long>", "data binary"]
+FIELDS = ["n_tokens array<long>", "block_bytes array<long>", "block_crc array<long>", "ids_crc array<long>", "data binary", "shares binary", "shares_crc long"]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,7 +350,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_
         from pyspark import TaskContext
 
         part, base, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-        own = encoder(tokenizer)
+        own, end = encoder(tokenizer), np.array([end_id], np.int32)
 
         def row():
             s = _segment(ids)
@@ -315,11 +360,10 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                for k, x in zip(some.column(0).to_pylist(), own.encode(texts(some.column(1)))):
+                for k, t in zip(some.column(0).to_pylist(), texts(some.column(1))):
                     keys.append(k)
-                    x.append(end_id)
-                    ids.append(np.array(x, np.int32))
-                    held += len(x)
+                    ids.append(np.concatenate((own.ids(t), end)))
+                    held += len(ids[-1])
                     if held >= SEGMENT:
                         yield row()
                         base, keys, ids, held = base + held, [], [], 0
@@ -331,7 +375,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_
     from pyspark.sql.pandas.types import to_arrow_type
 
     long = pa.list_(pa.int64())
-    arrow = [pa.int32(), pa.int64(), to_arrow_type(schema["keys"].dataType), long, long, long, long, pa.binary()]
+    arrow = [pa.int32(), pa.int64(), to_arrow_type(schema["keys"].dataType), long, long, long, long, pa.binary(), pa.binary(), pa.int64()]
     names = ["part", "base", "keys", *(f.split()[0] for f in FIELDS)]
     return written(parts.mapInArrow(coded, said), "id_segments")
 
@@ -349,13 +393,15 @@ def read_ids(segments: DataFrame, key: str = "doc_id", keep_ids: bool = True) ->
     def decoded(batches):
         for batch in batches:
             for j in range(batch.num_rows):
-                part, base, keys, n_tokens, size, crc, ids_crc, data = (batch.column(k)[j].as_py() for k in range(8))
+                part, base, keys, n_tokens, size, crc, ids_crc, data, shares, shares_crc = (batch.column(k)[j].as_py() for k in range(10))
                 at = np.concatenate([[0], np.cumsum(size)])
                 blocks = [data[a:b] for a, b in zip(at[:-1], at[1:])]
                 if [zlib.crc32(b) for b in blocks] != crc:
                     raise ValueError("a block's bytes differ from its checksum")
+                if zlib.crc32(shares) != shares_crc:
+                    raise ValueError("a segment's shares differ from their checksum")
                 count = sum(n_tokens)
-                got = decode_blocks(blocks, [min(BLOCK, count - k) for k in range(0, count, BLOCK)])
+                got = decode_blocks(blocks, [min(BLOCK, count - k) for k in range(0, count, BLOCK)], Shares.restored(shares))
                 if [zlib.crc32(b.astype("<u2").tobytes()) for b in got] != ids_crc:
                     raise ValueError("a block's ids differ from their checksum")
                 stream = np.concatenate(got).astype("<u4")
